@@ -32,6 +32,7 @@ def rolling(
     inputs: list[str],
     heavy: DataFrame | str | None = None,
     slice_width: int = SLICE_WIDTH,
+    copies_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``measures`` over the last ``rows`` rows (current included) of each key in the given order.
 
@@ -41,28 +42,27 @@ def rolling(
 
     A heavy key is cut into blocks by day and by ranges of the first tie-breaking number, both in sort order.
     Each block is a window partition of its own and starts with copies of the ``rows - 1`` rows before it, which
-    are dropped afterwards. Copies come from the last ``rows - 1`` rows of earlier blocks only.
+    are dropped afterwards. Copies come from the last ``rows - 1`` rows of earlier blocks only. They are taken from
+    ``copies_from`` when given: the same rows before other columns were added, which is cheaper to read again.
     """
     if heavy is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
         return df.withColumns({name: build(frame) for name, build in measures.items()})
 
-    day = F.coalesce(F.col(order[0]), F.lit("0001-01-01").cast("date"))
-    number = F.floor(F.coalesce(F.col(order[1]), F.lit(-(1 << 62))) / slice_width).cast("bigint")
-    if isinstance(heavy, str):
-        blocked = df.withColumn(_DAY, day).withColumn(_SLICE, number)
-    else:
-        marked = df.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy"))), keys, "left")
-        blocked = (
-            marked.withColumn(_DAY, F.when(F.col("_heavy"), day))
-            .withColumn(_SLICE, F.when(F.col("_heavy"), number))
-            .drop("_heavy")
-        )
+    def blocked(rows_in: DataFrame) -> DataFrame:
+        day = F.coalesce(F.col(order[0]), F.lit("0001-01-01").cast("date"))
+        number = F.floor(F.coalesce(F.col(order[1]), F.lit(-(1 << 62))) / slice_width).cast("bigint")
+        if isinstance(heavy, str):
+            return rows_in.select("*", day.alias(_DAY), number.alias(_SLICE))
+        marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
+        cut = [F.when(F.col("_heavy"), value).alias(name) for value, name in ((day, _DAY), (number, _SLICE))]
+        return rows_in.join(marks, keys, "left").select(*rows_in.columns, *cut)
 
     block = [*keys, _DAY, _SLICE]
-    needed = list(dict.fromkeys([*keys, *order, *inputs, _DAY, _SLICE]))
-    copies = _rows_before_blocks(blocked.filter(F.col(_DAY).isNotNull()).select(*needed), keys, order, rows)
-    both = blocked.withColumn("_copy", F.lit(False)).unionByName(
+    needed = list(dict.fromkeys([*keys, *order, *inputs]))
+    source = blocked((df if copies_from is None else copies_from).select(*needed))
+    copies = _rows_before_blocks(source.filter(F.col(_DAY).isNotNull()), keys, order, rows)
+    both = blocked(df).withColumn("_copy", F.lit(False)).unionByName(
         copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True
     )
     frame = Window.partitionBy(*block).orderBy(*order).rowsBetween(1 - rows, 0)

@@ -165,7 +165,7 @@ def rolling_customer(df: DataFrame, heavy: DataFrame | None = None) -> DataFrame
     )
 
 
-def rolling_mode(df: DataFrame) -> DataFrame:
+def rolling_mode(df: DataFrame, copies_from: DataFrame | None = None) -> DataFrame:
     """Mean lead time and late share of a shipping mode's last 30 rows; the few modes are always cut into blocks."""
     return rolling(
         df,
@@ -178,6 +178,7 @@ def rolling_mode(df: DataFrame) -> DataFrame:
         },
         ["lead_time", "is_late_delivery"],
         "all",
+        copies_from=copies_from,
     )
 
 
@@ -193,7 +194,8 @@ def delivery_rows(
     Both feature tables are selections of this frame, never joins back to it: after the fan-out
     (order_id, product_id) is not a key.
     """
-    rows = rolling_mode(rolling_customer(joined.filter(F.col("order_id").isNotNull()), heavy_customers))
+    orders = joined.filter(F.col("order_id").isNotNull())
+    rows = rolling_mode(rolling_customer(orders, heavy_customers), orders)
     profit, sales = F.col("profit").cast("double"), F.col("sales").cast("double")
     return rows.withColumns(
         {

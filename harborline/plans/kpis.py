@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.functions import bands, display
@@ -252,14 +252,14 @@ def replenishment_candidates(inventory: DataFrame, n: int = 4) -> DataFrame:
         ).alias("description"),
         F.lit("review").alias("status"),
     )
-    found = inventory.filter(_below()).limit(1).agg(F.count(F.lit(1)).alias("found"))
-    nothing = found.filter("found = 0").select(
-        F.lit("d1").alias("id"),
-        F.lit("No replenishment action").alias("title"),
-        F.lit("No product-store pairs are below their reorder point.").alias("description"),
-        F.lit("executed").alias("status"),
+    nothing = inventory.sparkSession.sql(
+        "SELECT 'd1' AS id, 'No replenishment action' AS title, "
+        "'No product-store pairs are below their reorder point.' AS description, 'executed' AS status"
     )
-    return low.unionByName(nothing)
+    both = low.withColumn("part", F.lit(0)).unionByName(nothing.withColumn("part", F.lit(1)))
+    # the window sees at most n + 1 rows
+    first = F.min("part").over(Window.partitionBy())
+    return both.withColumn("first", first).filter("part = first").drop("part", "first")
 
 
 def warehouse_utilisation(inventory: DataFrame, n: int = 8) -> DataFrame:

@@ -712,10 +712,10 @@ register(
     lambda L: keep.latest(L.sales.groupBy("order_date").agg(F.sum("sales").alias("sales")), "order_date", 12),
     "SELECT order_date::VARCHAR AS order_date, sum(sales)::DOUBLE AS sales FROM v_sales GROUP BY v_sales.order_date ORDER BY v_sales.order_date DESC LIMIT 12",
 )
-REPLENISH = f"""SELECT 'd' || row_number() OVER o AS id, 'Review replenishment for ' || product_id AS title,
+REPLENISH = f"""SELECT 'd' || place AS id, title, description, status FROM (SELECT row_number() OVER o AS place, 'Review replenishment for ' || product_id AS title,
   store_id || ' has ' || {thousands('current_stock')} || ' units against a reorder point of ' || {thousands('reorder_point')} || '.' AS description,
   'review' AS status FROM v_inventory WHERE stock_below_reorder = 1
-  WINDOW o AS (ORDER BY current_stock, reorder_point DESC, product_id, store_id, date) ORDER BY row_number() OVER o LIMIT 4"""
+  WINDOW o AS (ORDER BY current_stock, reorder_point DESC, product_id, store_id, date)) WHERE place <= 4"""
 register("replenishment_candidates", lambda L: kpis.replenishment_candidates(L.inventory_features), REPLENISH)
 register("inventory_items", lambda L: inventory.items(L.inventory_features, L.sales_ml), "SELECT * FROM v_items")
 SHIPPED = """SELECT row_number() OVER o AS position, 'ORD-' || order_id AS id, market AS origin, customer_segment AS destination,
@@ -755,11 +755,11 @@ register(
     lambda L: tally(logistics.dated_rows(L.history), "dashboard_date"),
     """SELECT day::VARCHAR AS dashboard_date, count(*) AS "rows" FROM v_dated GROUP BY ALL""",
 )
-FEED = f"""SELECT 'a' || row_number() OVER o AS id, agent, action, status FROM (
+FEED = f"""SELECT 'a' || place AS id, agent, action, status FROM (SELECT row_number() OVER o AS place, agent, action, status FROM (
   SELECT 'Logistics' AS agent, mode || ' late-delivery rate is ' || {fixed('late_pct', 1)} || '% across ' || orders || ' orders' AS action,
     IF(late_pct > 25, 'warning', 'success') AS status, late_pct / 100 AS sort_score FROM v_modes
   UNION ALL SELECT 'Inventory', below_reorder || ' product-store pairs are below reorder point', IF(below_reorder > 0, 'warning', 'success'),
-    below_reorder FROM v_insight) WINDOW o AS (ORDER BY sort_score DESC, action) ORDER BY row_number() OVER o LIMIT 6"""
+    below_reorder FROM v_insight) WINDOW o AS (ORDER BY sort_score DESC, action)) WHERE place <= 6"""
 register("activity_feed", lambda L: kpis.activity_feed(L.delivery, L.inventory_features), FEED)
 register(
     "historical_activity_feed",
@@ -1094,8 +1094,8 @@ def vector_matches(L: Layers, k: int) -> DataFrame:
 
 
 _with_views(
-    v_prototypes="""SELECT label::VARCHAR AS query_id, list(mean ORDER BY at) AS vector FROM (
-      SELECT label, at, avg(value) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS at FROM embeddings)
+    v_prototypes="""SELECT label::VARCHAR AS query_id, list(mean ORDER BY place) AS vector FROM (
+      SELECT label, place, avg(value) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS place FROM embeddings)
       GROUP BY ALL) GROUP BY ALL""",
     v_similar="""SELECT query_id, vec_id AS id, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 9) AS score,
       row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vector, embedding::DOUBLE[]), 9) DESC, vec_id) AS rank
@@ -1122,17 +1122,17 @@ def keyword_candidates(L: Layers) -> DataFrame:
 
 _with_views(
     v_candidates=KEYWORD_SQL.replace("<= 5", "<= 15"),
-    v_reranked=r"""SELECT query_id, id, score, source, content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-      SELECT c.query_id, c.id, c.score, d.source, regexp_replace(d.text, '^\s+|\s+$', '', 'g') AS content
-      FROM v_candidates c JOIN documents d ON c.id = d.doc_id)
+    v_reranked=r"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+      SELECT * FROM (SELECT c.query_id, c.id, c.score, d.source, regexp_replace(d.text, '^\s+|\s+$', '', 'g') AS content
+        FROM v_candidates c JOIN documents d ON c.id = d.doc_id)
       WHERE score >= 0.2 AND content <> ''
-      QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY score DESC, id) = 1""",
+      QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY score DESC, id) = 1)""",
     v_matches="SELECT * FROM v_reranked WHERE rank <= 5",
 )
 register(
     "rerank_filter",
     lambda L: reranked(L).select("query_id", "id", "score", "source", "content", "rank"),
-    """SELECT query_id, id, score, source, content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v_matches""",
+    "SELECT query_id, id, score, source, content, rank FROM v_matches",
 )
 register(
     "source_label",
@@ -1160,23 +1160,23 @@ register(
       FROM v_asked a LEFT JOIN v_matches m USING (query_id) GROUP BY ALL""",
 )
 _with_views(
-    v_sections="""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS at,
+    v_sections="""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place,
       '[Record ' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || ' | Source: ' || source || ']' || chr(10) || content AS section,
       greatest(1000, 12000 // count(*) OVER (PARTITION BY query_id)) AS share FROM v_matches""",
-    v_fold="""SELECT query_id, 0 AS at, 12000 AS room, NULL::VARCHAR AS context, NULL::VARCHAR AS piece FROM (SELECT DISTINCT query_id FROM v_sections)
+    v_fold="""SELECT query_id, 0 AS place, 12000 AS room, NULL::VARCHAR AS context, NULL::VARCHAR AS piece FROM (SELECT DISTINCT query_id FROM v_sections)
       UNION ALL
-      SELECT query_id, at, IF(room > 0, room - length(cut), room), IF(room > 0, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), context, cut), context), cut
-      FROM (SELECT s.query_id, s.at, f.room, f.context,
+      SELECT query_id, place, IF(room > 0, room - length(cut), room), IF(room > 0, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), context, cut), context), cut
+      FROM (SELECT s.query_id, s.place, f.room, f.context,
           IF(length(s.section) > least(share, f.room),
             IF(instr(reverse(left(s.section, least(share, f.room))), ' ') > 0,
               left(s.section, least(share, f.room) - instr(reverse(left(s.section, least(share, f.room))), ' ')),
               left(s.section, least(share, f.room))) || '…', s.section) AS cut
-        FROM v_fold f JOIN v_sections s ON s.query_id = f.query_id AND s.at = f.at + 1)""",
+        FROM v_fold f JOIN v_sections s ON s.query_id = f.query_id AND s.place = f.place + 1)""",
 )
 register(
     "context_pack",
     lambda L: retrieval.context_pack(reranked(L)),
-    "SELECT query_id, context FROM v_fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY at DESC) = 1",
+    "SELECT query_id, context FROM v_fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place DESC) = 1",
 )
 register(
     "urgent_query_flag",
