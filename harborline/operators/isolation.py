@@ -23,8 +23,9 @@ def grow(df: DataFrame, features: list[str], trees: int = 50, sample: int = 256,
     """One row per node of every tree. A tree sees ``sample`` rows at most, which is what the method asks for."""
     total = df.count()
     wanted = trees * sample
-    fraction = min(1.0, 1.3 * wanted / max(total, 1))
-    drawn = df.select(*features).sample(fraction, seed=seed).withColumn("_draw", F.rand(seed))
+    fraction = 1.3 * wanted / max(total, 1)
+    # with replacement: a row may serve several trees, also when there are fewer rows than trees need
+    drawn = df.select(*features).sample(True, fraction, seed).withColumn("_draw", F.rand(seed))
     # cut to the sample size before grouping: the sort keeps trees * sample rows per task
     drawn = drawn.orderBy("_draw").limit(wanted)
     dealt = drawn.withColumn("tree", F.pmod(F.hash("_draw"), F.lit(trees)).cast("int"))

@@ -36,10 +36,9 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per .txt or .md file, its whole text and its file name; other types are skipped."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{txt,md}")
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("value").alias("content"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"))
     )
 
@@ -47,13 +46,12 @@ def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, date_column: str = "order_date") -> None:
     """Parquet partitioned by year and month of a date, so month filters read only their folders.
 
-    Rows are first spread by month and by a hash of the whole row: one month may hold a third of the data, and
-    it is written by several tasks instead of one.
+    The rebalance hint gathers each month's rows, and lets adaptive execution write a month that is larger than
+    the advisory partition size with several tasks and merge small ones.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
     dated = df.withColumn("part_year", F.year(date_column)).withColumn("part_month", F.month(date_column))
     (
-        dated.repartition("part_year", "part_month", spread)
+        dated.hint("rebalance", "part_year", "part_month")
         .write.mode("overwrite")
         .partitionBy("part_year", "part_month")
         .parquet(path)

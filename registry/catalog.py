@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from harborline.functions import bands, cleaning, display, measures, months
 from harborline.operators import joins, keep, nearest, rolling
 from harborline.plans import answers, demand, gold, inventory, kpis, logistics, models, retrieval, risk, scoring, shipments, silver
-from harborline.session import fresh_path
+from harborline.session import fresh_path, written
 from harborline.sources import files, tables
 from harborline.sources.bindings import order_events
 from harborline.streaming import orders as live
@@ -725,11 +725,16 @@ SHIPPED = """SELECT row_number() OVER o AS position, 'ORD-' || order_id AS id, m
 register("latest_shipments", lambda L: shipments.latest_shipments(L.delivery), SHIPPED)
 BULK = """SELECT row_number() OVER o AS rank, order_id, product_id, quantity, sales::DOUBLE AS sales, profit::DOUBLE AS profit, profit_margin
   FROM v_rows WHERE quantity > 5 AND profit <= 0 WINDOW o AS (ORDER BY profit, sales, order_id, product_id) ORDER BY rank LIMIT 10"""
+
+
+def _bulk_report(records: DataFrame) -> DataFrame:
+    total = answers.unprofitable_bulk_orders(records).agg(F.count(F.lit(1)).alias("all_rows"))
+    return answers.lowest_profit_bulk_orders(records).join(total.withColumn("rank", F.lit(1)), "rank", "left")
+
+
 register(
     "unprofitable_bulk_orders",
-    lambda L: answers.lowest_profit_bulk_orders(L.flat).join(
-        answers.unprofitable_bulk_orders(L.flat).agg(F.count(F.lit(1)).alias("all_rows")).withColumn("rank", F.lit(1)), "rank", "left"
-    ),
+    lambda L: _bulk_report(written(L.flat, "flat")),
     f"SELECT *, IF(rank = 1, (SELECT count(*) FROM v_rows WHERE quantity > 5 AND profit <= 0), NULL) AS all_rows FROM ({BULK})",
 )
 LONGEST = """SELECT row_number() OVER o AS rank, order_id, product_id, lead_time, shipping_mode FROM v_rows
@@ -965,7 +970,7 @@ def _by_time(df: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _delay_model(L: Layers) -> DataFrame:
-    train, later = _by_time(L.flat, "order_date")
+    train, later = _by_time(written(L.flat, "flat"), "order_date")
     scored = models.predict_delay(models.fit_delay(train), later)
     return scored.groupBy("shipping_mode", "is_late_delivery").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("delivery_risk").alias("mean_delivery_risk")
@@ -973,11 +978,11 @@ def _delay_model(L: Layers) -> DataFrame:
 
 
 def _anomaly_model(L: Layers) -> DataFrame:
-    return models.anomaly_risk(L.flat).select("order_id", "product_id", "isolation", "anomaly_risk", "anomaly_prediction")
+    return models.anomaly_risk(written(L.flat, "flat")).select("order_id", "product_id", "isolation", "anomaly_risk", "anomaly_prediction")
 
 
 def _demand_model(L: Layers) -> DataFrame:
-    train, later = _by_time(demand.monthly_lags(L.sales, ["product_id"]), "month_start")
+    train, later = _by_time(written(demand.monthly_lags(L.sales, ["product_id"]), "lags"), "month_start")
     scored = models.predict_demand(models.fit_demand(train), later)
     return scored.select("product_id", "month_start", "demand", "predicted_demand")
 
@@ -1025,7 +1030,7 @@ register("upsert_chunks", lambda L: _chunks(L).select("id", "text"), f"SELECT id
 
 
 def _resume(L: Layers) -> DataFrame:
-    chunks = _chunks(L)
+    chunks = written(_chunks(L), "chunks")
     done = chunks.filter(F.element_at("metadata", "shipment_date") < AS_OF.isoformat())
     return retrieval.pending(chunks, done).select("id", "text")
 
@@ -1212,7 +1217,7 @@ def _answer_sql() -> str:
     )
 
 
-register("exact_answer_docs", lambda L: answers.answer_documents(L.flat), _answer_sql())
+register("exact_answer_docs", lambda L: answers.answer_documents(written(L.flat, "flat")), _answer_sql())
 
 # --- 2.12 streams ---------------------------------------------------------------------------------------------------
 
@@ -1237,7 +1242,7 @@ def _demand_points(L: Layers) -> DataFrame:
     """Monthly lag records written as files and read back as a stream."""
     path = fresh_path(L.spark, "lags")
     lags = demand.monthly_lags(L.sales).drop("rolling_mean_3").dropna(subset=["lag_3"])
-    lags.write.parquet(path)
+    lags.repartition(4).write.parquet(path)
     arriving = L.spark.readStream.schema(lags.schema).parquet(path)
     return live.drain_to_files(live.demand_events(arriving), "demand")
 
