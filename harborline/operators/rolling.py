@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1_000_000
+HEAVY_ROWS = 20_000_000
 MAX_HEAVY_KEYS = 10_000
-SLICE_WIDTH = 1 << 24
+ROWS_PER_SLICE = 1_000_000
+MAX_SLICES = 1024
 _DAY, _SLICE = "_block_day", "_block_slice"
 
 
-def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = ROWS_PER_TASK, most: int = MAX_HEAVY_KEYS) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS, most: int = MAX_HEAVY_KEYS) -> DataFrame:
     """The keys with the most rows: those with at least ``min_rows``, and no more than ``most`` of them.
 
     The list only decides which keys are cut into blocks. A key beyond the limit keeps its single, smaller
@@ -23,6 +24,16 @@ def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = ROWS_PER_TASK, mo
     return counted.orderBy(F.col("_rows").desc(), *keys).limit(most).select(*keys)
 
 
+def day_slices(df: DataFrame, day: str, number: str, rows: int = ROWS_PER_SLICE, most: int = MAX_SLICES) -> DataFrame:
+    """One row (low, high, parts): the range of ``number`` and how many parts the busiest day should be cut into.
+
+    It only steers how rows are spread, so a cheaper frame with about the same rows will do.
+    """
+    per_day = df.groupBy(day).agg(F.count(F.lit(1)).alias("rows"), F.min(number).alias("low"), F.max(number).alias("high"))
+    parts = F.least(F.lit(most), F.ceil(F.max("rows") / rows)).cast("bigint")
+    return per_day.agg(F.min("low").alias("low"), F.max("high").alias("high"), parts.alias("parts"))
+
+
 def rolling(
     df: DataFrame,
     keys: list[str],
@@ -31,7 +42,7 @@ def rolling(
     measures: dict[str, Callable[[WindowSpec], Column]],
     inputs: list[str],
     heavy: DataFrame | str | None = None,
-    slice_width: int = SLICE_WIDTH,
+    slices: DataFrame | None = None,
     copies_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``measures`` over the last ``rows`` rows (current included) of each key in the given order.
@@ -40,7 +51,8 @@ def rolling(
     ``inputs`` are the columns the measures read. ``heavy`` names keys that are too large for one task: a frame
     of keys, or ``"all"`` when the key itself has few values.
 
-    A heavy key is cut into blocks by day and by ranges of the first tie-breaking number, both in sort order.
+    A heavy key is cut into blocks by day and, with ``slices`` (see ``day_slices``), by ranges of the first
+    tie-breaking number, both in sort order.
     Each block is a window partition of its own and starts with copies of the ``rows - 1`` rows before it, which
     are dropped afterwards. Copies come from the last ``rows - 1`` rows of earlier blocks only. They are taken from
     ``copies_from`` when given: the same rows before other columns were added, which is cheaper to read again.
@@ -51,7 +63,11 @@ def rolling(
 
     def blocked(rows_in: DataFrame) -> DataFrame:
         day = F.coalesce(F.col(order[0]), F.lit("0001-01-01").cast("date"))
-        number = F.floor(F.coalesce(F.col(order[1]), F.lit(-(1 << 62))) / slice_width).cast("bigint")
+        number = F.lit(0).cast("bigint")
+        if slices is not None:
+            low, high, parts = (slices.select(name).scalar() for name in ("low", "high", "parts"))
+            # equal ranges of the number, in its order; NULL sorts first and gets the lowest slice
+            number = F.coalesce(F.width_bucket(F.col(order[1]), low, high + 1, parts), F.lit(-1)).cast("bigint")
         if isinstance(heavy, str):
             return rows_in.select("*", day.alias(_DAY), number.alias(_SLICE))
         marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))

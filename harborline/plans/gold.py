@@ -149,7 +149,7 @@ def _order(df: DataFrame) -> list[str]:
     return ["order_date", "order_id", "product_id", *ties]
 
 
-def rolling_customer(df: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def rolling_customer(df: DataFrame, heavy: DataFrame | None = None, slices: DataFrame | None = None) -> DataFrame:
     """Mean order value and row count of a customer's last 30 rows; heavy customers are cut into blocks."""
     return rolling(
         df,
@@ -162,10 +162,13 @@ def rolling_customer(df: DataFrame, heavy: DataFrame | None = None) -> DataFrame
         },
         ["sales"],
         heavy,
+        slices,
     )
 
 
-def rolling_mode(df: DataFrame, copies_from: DataFrame | None = None) -> DataFrame:
+def rolling_mode(
+    df: DataFrame, slices: DataFrame | None = None, copies_from: DataFrame | None = None
+) -> DataFrame:
     """Mean lead time and late share of a shipping mode's last 30 rows; the few modes are always cut into blocks."""
     return rolling(
         df,
@@ -178,7 +181,8 @@ def rolling_mode(df: DataFrame, copies_from: DataFrame | None = None) -> DataFra
         },
         ["lead_time", "is_late_delivery"],
         "all",
-        copies_from=copies_from,
+        slices,
+        copies_from,
     )
 
 
@@ -186,6 +190,7 @@ def delivery_rows(
     joined: DataFrame,
     as_of: dt.date,
     heavy_customers: DataFrame | None = None,
+    slices: DataFrame | None = None,
     high_value_above: float = HIGH_VALUE_ABOVE,
     bulk_above: int = BULK_ABOVE,
 ) -> DataFrame:
@@ -195,7 +200,7 @@ def delivery_rows(
     (order_id, product_id) is not a key.
     """
     orders = joined.filter(F.col("order_id").isNotNull())
-    rows = rolling_mode(rolling_customer(orders, heavy_customers), orders)
+    rows = rolling_mode(rolling_customer(orders, heavy_customers, slices), slices, orders)
     profit, sales = F.col("profit").cast("double"), F.col("sales").cast("double")
     return rows.withColumns(
         {

@@ -665,7 +665,8 @@ register(
 def _customer_windows(L: Layers) -> DataFrame:
     # a low limit, so that large customers take the block path and small ones the plain path
     heavy = rolling.heavy_keys(L.sales, ["customer_id"], min_rows=45)
-    return gold.rolling_customer(L.joined, heavy).select(
+    slices = rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=6)
+    return gold.rolling_customer(L.joined, heavy, slices).select(
         "order_id", "product_id", "order_date", "avg_order_value_30d", "num_orders_30d"
     )
 
@@ -677,7 +678,7 @@ register(
 )
 register(
     "rolling_mode_30",
-    lambda L: gold.rolling_mode(L.joined).select(
+    lambda L: gold.rolling_mode(L.joined, L.slices).select(
         "order_id", "product_id", "order_date", "avg_lead_time_by_mode", "late_delivery_rate_by_mode"
     ),
     "SELECT order_id, product_id, order_date::VARCHAR AS order_date, avg_lead_time_by_mode, late_delivery_rate_by_mode FROM v_rows",

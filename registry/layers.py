@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.operators.rolling import heavy_keys
+from harborline.operators.rolling import day_slices, heavy_keys
 from harborline.plans import gold, silver
 from harborline.sources import bindings
 
@@ -90,9 +90,14 @@ class Layers:
         )
         return heavy_keys(owned, ["customer_id"])
 
+    @cached_property
+    def slices(self) -> DataFrame:
+        # orders stand in for order rows: the split needs the busiest day and the id range, not exact counts
+        return day_slices(self.table("orders"), "o_orderdate", "o_orderkey")
+
     @cached_property
     def rows(self) -> DataFrame:
-        return gold.delivery_rows(self.joined, AS_OF, self.heavy_customers)
+        return gold.delivery_rows(self.joined, AS_OF, self.heavy_customers, self.slices)
 
     @cached_property
     def delivery(self) -> DataFrame:
