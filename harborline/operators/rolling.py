@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 HEAVY_ROWS = 20_000_000
 MAX_HEAVY_KEYS = 10_000
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_BLOCK = 1_000_000
 MAX_SLICES = 1024
+NO_DAY = -(1 << 40)  # sorts before every day, like a NULL date
 _DAY, _SLICE = "_block_day", "_block_slice"
 
 
@@ -24,14 +25,19 @@ def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS, most:
     return counted.orderBy(F.col("_rows").desc(), *keys).limit(most).select(*keys)
 
 
-def day_slices(df: DataFrame, day: str, number: str, rows: int = ROWS_PER_SLICE, most: int = MAX_SLICES) -> DataFrame:
-    """One row (low, high, parts): the range of ``number`` and how many parts the busiest day should be cut into.
+def day_slices(df: DataFrame, day: str, number: str, rows: int = ROWS_PER_BLOCK, most: int = MAX_SLICES) -> DataFrame:
+    """One row (low, high, parts, days): how to cut rows into blocks of about ``rows``, judged by the busiest day.
 
-    It only steers how rows are spread, so a cheaper frame with about the same rows will do.
+    A busy day is cut into ``parts`` ranges of ``number`` between low and high; quiet days are taken ``days`` at a
+    time. It only steers how rows are spread, so a cheaper frame with about the same rows will do.
     """
     per_day = df.groupBy(day).agg(F.count(F.lit(1)).alias("rows"), F.min(number).alias("low"), F.max(number).alias("high"))
-    parts = F.least(F.lit(most), F.ceil(F.max("rows") / rows)).cast("bigint")
-    return per_day.agg(F.min("low").alias("low"), F.max("high").alias("high"), parts.alias("parts"))
+    return per_day.agg(
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.least(F.lit(most), F.ceil(F.max("rows") / rows)).cast("bigint").alias("parts"),
+        F.greatest(F.lit(1), F.floor(rows / F.max("rows"))).cast("bigint").alias("days"),
+    )
 
 
 def rolling(
@@ -51,8 +57,8 @@ def rolling(
     ``inputs`` are the columns the measures read. ``heavy`` names keys that are too large for one task: a frame
     of keys, or ``"all"`` when the key itself has few values.
 
-    A heavy key is cut into blocks by day and, with ``slices`` (see ``day_slices``), by ranges of the first
-    tie-breaking number, both in sort order.
+    A heavy key is cut into blocks by day; with ``slices`` (see ``day_slices``) by several days or, within a day, by
+    ranges of the first tie-breaking number. Blocks follow the sort order.
     Each block is a window partition of its own and starts with copies of the ``rows - 1`` rows before it, which
     are dropped afterwards. Copies come from the last ``rows - 1`` rows of earlier blocks only. They are taken from
     ``copies_from`` when given: the same rows before other columns were added, which is cheaper to read again.
@@ -62,12 +68,15 @@ def rolling(
         return df.withColumns({name: build(frame) for name, build in measures.items()})
 
     def blocked(rows_in: DataFrame) -> DataFrame:
-        day = F.coalesce(F.col(order[0]), F.lit("0001-01-01").cast("date"))
+        day = F.datediff(F.col(order[0]), F.lit("1970-01-01").cast("date"))
         number = F.lit(0).cast("bigint")
         if slices is not None:
-            low, high, parts = (slices.select(name).scalar() for name in ("low", "high", "parts"))
+            span = slices.select(F.struct("low", "high", "parts", "days")).scalar()  # one subquery, evaluated once
+            day = F.floor(day / span["days"])
             # equal ranges of the number, in its order; NULL sorts first and gets the lowest slice
-            number = F.coalesce(F.width_bucket(F.col(order[1]), low, high + 1, parts), F.lit(-1)).cast("bigint")
+            bucket = F.width_bucket(F.col(order[1]), span["low"], span["high"] + 1, span["parts"])
+            number = F.coalesce(F.when(span["parts"] > 1, bucket).otherwise(0), F.lit(-1)).cast("bigint")
+        day = F.coalesce(day, F.lit(NO_DAY)).cast("bigint")
         if isinstance(heavy, str):
             return rows_in.select("*", day.alias(_DAY), number.alias(_SLICE))
         marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
@@ -101,7 +110,8 @@ def _rows_before_blocks(rows_in: DataFrame, keys: list[str], order: list[str], r
     )
     newest_first = Window.partitionBy(*block).orderBy(*(F.col(name).desc() for name in order))
     tails = rows_in.withColumn("_back", F.row_number().over(newest_first)).filter(F.col("_back") <= rows - 1)
-    same_block = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in block]
+    same_block = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in keys]
+    same_block += [F.col(name) == F.col(f"_of_{name}") for name in (_DAY, _SLICE)]
     reach = F.col("_end") - F.col("_back") + (rows - 1)
     targets = F.filter("_next", lambda later: later["_start"] <= reach)
     return (

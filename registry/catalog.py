@@ -663,7 +663,7 @@ register(
 
 
 def _customer_windows(L: Layers) -> DataFrame:
-    # a low limit, so that large customers take the block path and small ones the plain path
+    # low limits, so that large customers are cut within days and small ones take the plain path
     heavy = rolling.heavy_keys(L.sales, ["customer_id"], min_rows=45)
     slices = rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=6)
     return gold.rolling_customer(L.joined, heavy, slices).select(
@@ -678,7 +678,8 @@ register(
 )
 register(
     "rolling_mode_30",
-    lambda L: gold.rolling_mode(L.joined, L.slices).select(
+    # small blocks of a few days, so that block borders are crossed at every size
+    lambda L: gold.rolling_mode(L.joined, rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=300)).select(
         "order_id", "product_id", "order_date", "avg_lead_time_by_mode", "late_delivery_rate_by_mode"
     ),
     "SELECT order_id, product_id, order_date::VARCHAR AS order_date, avg_lead_time_by_mode, late_delivery_rate_by_mode FROM v_rows",

@@ -46,12 +46,14 @@ def assert_close(got, want):
     assert max(abs(got[key] - want[key]) for key in want) < 1e-9
 
 
-@pytest.mark.parametrize("rows_per_slice", [5, 200, None])
+@pytest.mark.parametrize("rows_per_slice", [5, 200, 1000, 10**6, None])
 def test_blocks_equal_the_plain_window_for_a_hot_mode(spark, rows_per_slice):
     df = orders(spark)
     slices = rows_per_slice and rolling.day_slices(df, "order_date", "order_id", rows_per_slice)
     if slices:
-        assert slices.first().parts == -(-df.groupBy("order_date").count().agg(F.max("count")).first()[0] // rows_per_slice)
+        busiest = df.groupBy("order_date").count().agg(F.max("count")).first()[0]
+        assert slices.first().parts == -(-busiest // rows_per_slice)
+        assert slices.first().days == max(1, rows_per_slice // busiest)
     added = rolling.rolling(
         df, ["shipping_mode"], ORDER, 30, {"mean": lambda w: F.avg("lead_time").over(w)}, ["lead_time"], "all", slices
     )
