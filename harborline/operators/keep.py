@@ -19,13 +19,6 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column], ties: list[s
     return df.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows per key with their rank in column ``rank``."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(
-        F.col("rank") <= k
-    )
-
-
 def latest(df: DataFrame, period: str, n: int) -> DataFrame:
     """The n latest periods of an aggregate, oldest first."""
     return df.orderBy(F.col(period).desc()).limit(n).orderBy(period)

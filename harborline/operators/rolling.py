@@ -80,8 +80,8 @@ def rolling(
         if isinstance(heavy, str):
             return rows_in.select("*", day.alias(_DAY), number.alias(_SLICE))
         marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
-        cut = [F.when(F.col("_heavy"), value).alias(name) for value, name in ((day, _DAY), (number, _SLICE))]
-        return rows_in.join(marks, keys, "left").select(*rows_in.columns, *cut)
+        labels = [F.when(F.col("_heavy"), value).alias(name) for value, name in ((day, _DAY), (number, _SLICE))]
+        return rows_in.join(marks, keys, "left").select(*rows_in.columns, *labels)
 
     block = [*keys, _DAY, _SLICE]
     needed = list(dict.fromkeys([*keys, *order, *inputs]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.functions import bands, cleaning, display, measures, months
+from harborline.functions import bands, cleaning, measures, months
 from harborline.operators import joins, keep, nearest, rolling
 from harborline.plans import answers, demand, gold, inventory, kpis, logistics, models, retrieval, risk, scoring, shipments, silver
 from harborline.session import fresh_path, written
@@ -124,20 +124,27 @@ register(
     """SELECT year, quarter, count(*) AS "rows", sum(sales)::DOUBLE AS sales, sum(profit)::DOUBLE AS profit,
     sum(num_orders_30d)::BIGINT AS orders_30d, max(shipment_date)::VARCHAR AS last_shipment FROM v_rows GROUP BY ALL""",
 )
-register(
-    "layer_row_counts",
-    lambda L: tables.row_counts(
+
+
+def _layer_counts(L: Layers) -> DataFrame:
+    raw = written(L.raw_sales, "bronze-sales")
+    return tables.row_counts(
         {
-            "raw": {"sales_shipment": L.raw_sales, "inventory_stock": L.raw_inventory, "supply_chain": L.raw_supply},
+            "raw": {"sales_shipment": raw, "inventory_stock": L.raw_inventory, "supply_chain": L.raw_supply},
             "silver": {
-                "sales_shipment": silver.sales(L.raw_sales),
-                "sales_shipment_rejects": silver.sales_rejects(L.raw_sales),
+                "sales_shipment": silver.sales(raw),
+                "sales_shipment_rejects": silver.sales_rejects(raw),
                 "inventory_stock": silver.inventory_stock(L.raw_inventory),
                 "supply_chain": silver.supply_chain(L.raw_supply),
             },
             "gold": {"sales_ml_clean": L.sales_ml, "inventory_ml_clean": L.inventory_ml},
         }
-    ),
+    )
+
+
+register(
+    "layer_row_counts",
+    _layer_counts,
     """
     SELECT 'raw' AS layer, 'sales_shipment' AS "table", count(*) AS "rows" FROM v_lines
     UNION ALL SELECT 'raw', 'inventory_stock', 2 * count(*) FROM part
@@ -236,7 +243,8 @@ register(
 DATED = "order_date IS NOT NULL AND shipment_date IS NOT NULL"
 register(
     "silver_sales",
-    lambda L: silver.sales(L.raw_sales),
+    # bronze is a stored table, not an expression that silver would evaluate once per use
+    lambda L: silver.sales(written(L.raw_sales, "bronze-sales")),
     f"""SELECT * REPLACE (order_date::VARCHAR AS order_date, shipment_date::VARCHAR AS shipment_date) FROM v_clean WHERE {DATED}
     QUALIFY row_number() OVER (PARTITION BY order_id, product_id, order_date ORDER BY shipment_date DESC,
       customer_id DESC, customer_segment DESC, sales DESC, quantity DESC, profit DESC, is_late_delivery DESC,
