@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import line_dedup, mixing, packing, sql, url_filter
+from harborline.llm import language, line_dedup, mixing, packing, secrets, sql, topk, url_filter, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,12 +50,47 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "source", "copy", F.col("n_copies").cast("long").alias("n_copies"), "shuffle_key", digest)
 
 
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vec"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.train(docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("doc_id").isNotNull()).select("text", "lang"))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
+        "op6_secret_scan": op6_secret_scan,
         "op8_mixing": op8_mixing,
+        "op9_topk": op9_topk,
+        "op10_language_id": op10_language_id,
     }
 
 
@@ -63,6 +98,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": sql.LINES,
         "op3_url_filter": sql.urls(RULES, DEFAULT_VERDICT),
+        "op4_embedding_dedup": sql.VECTORS,
         "op5_packing": sql.packed(PACK["buckets"], PACK["max_tokens"], PACK["batch_tokens"], PACK["seed"]),
         "op8_mixing": sql.mixed(MIX["temperature"], MIX["seed"], mixing.PIECE),
+        "op9_topk": sql.TOP,
     }
