@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import language, line_dedup, mixing, packing, secrets, sql, topk, url_filter, vector_dedup
+from harborline.llm import language, line_dedup, mixing, ngram_join, packing, secrets, sql, topk, url_filter, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vec"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -88,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
         "op6_secret_scan": op6_secret_scan,
+        "op7_ngram_join": op7_ngram_join,
         "op8_mixing": op8_mixing,
         "op9_topk": op9_topk,
         "op10_language_id": op10_language_id,
@@ -100,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": sql.urls(RULES, DEFAULT_VERDICT),
         "op4_embedding_dedup": sql.VECTORS,
         "op5_packing": sql.packed(PACK["buckets"], PACK["max_tokens"], PACK["batch_tokens"], PACK["seed"]),
+        "op7_ngram_join": sql.NEAR,
         "op8_mixing": sql.mixed(MIX["temperature"], MIX["seed"], mixing.PIECE),
         "op9_topk": sql.TOP,
     }
