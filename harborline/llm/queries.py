@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import language, line_dedup, mixing, ngram_join, packing, secrets, sql, topk, url_filter, vector_dedup
+from harborline.llm import language, line_dedup, mixing, ngram_join, packing, passage_dedup, secrets, sql, topk, url_filter, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = passage_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), size=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules, DEFAULT_VERDICT).drop("url")
@@ -88,6 +93,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
@@ -102,6 +108,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": sql.LINES,
+        "op2_suffix_dedup": sql.REPEATS,
         "op3_url_filter": sql.urls(RULES, DEFAULT_VERDICT),
         "op4_embedding_dedup": sql.VECTORS,
         "op5_packing": sql.packed(PACK["buckets"], PACK["max_tokens"], PACK["batch_tokens"], PACK["seed"]),

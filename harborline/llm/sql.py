@@ -130,3 +130,20 @@ links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y
 reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
 lowest AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents JOIN lowest ON id = doc_id LEFT JOIN sizes USING (doc_id)"""
+
+
+# Bytes as pairs of hexadecimal digits, so that strings of bytes are strings of text.
+REPEATS = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 400)) AS s FROM bytes WHERE length(h) >= 800),
+names AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS name FROM starts),
+twice AS (SELECT name FROM names GROUP BY name HAVING count(*) > 1),
+hits AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM names SEMI JOIN twice USING (name)),
+marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM hits),
+runs AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS b FROM marked GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS low FROM runs),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+  string_agg(substr(h, 2 * low + 1, 2 * (a - low)), '' ORDER BY run) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM bytes LEFT JOIN kept USING (doc_id)"""
