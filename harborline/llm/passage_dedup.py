@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
         piece = data[base : base + PIECE + size - 1]
         at = np.arange(len(piece) - GRAM + 1)
         sums = hashes(piece)
-        gram = span_hash(sums, at, at + GRAM)
+        gram = mixed((sums[0][GRAM:] - sums[0][:-GRAM]) * sums[1][: len(at)])
         key = (gram >> POSITION_BITS << POSITION_BITS) | at.astype(np.uint64)
         rows = -(-len(key) // wide)
         block = np.full(rows * wide, np.iinfo(np.uint64).max, np.uint64)
@@ -69,11 +68,12 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
        anchor are one segment of the text. Equal windows are in segments with equal anchors. Segments whose anchor is
        nowhere else end here, which is most of a clean corpus. Equal segments are counted once, with their number; all
        windows of a segment that is there twice are repeated.
-    2. Different segments with the same anchor are compared by suffix arrays: they are dealt to shards by their anchor,
-       each shard of about SHARD_BYTES is sorted by induced sorting, and the common prefixes in text order tell which
-       windows occur twice. A group of segments too large for a shard (a passage that many documents embed) is split:
-       windows are divided by their distance from the anchor into halves, which share a longer core of bytes, and
-       the core joins the key. Halving ends at single windows, so every group gets small or turns out to be equal strings.
+    2. Different segments with the same anchor are divided: windows of one of PARTS ranges of distance from the anchor share a
+       core of bytes, and the core's hash joins the key. Equal pieces are counted once again. Pieces that differ but share
+       a key are compared by suffix arrays: they are dealt to shards by key, each shard of about SHARD_BYTES is sorted by
+       induced sorting, and the common prefixes in text order tell which windows occur twice. A group too large for a
+       shard (a passage that many documents embed) is halved by distance again, with a longer core, down to single
+       windows, so every group gets small or turns out to be equal strings.
     3. The starts found are carried back to all places of a segment and merged per document.
 
     Work moves as hashes; text moves for the segments to compare, and once with the starts to its document.
@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", tex
     shared = segments.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
     segments = segments.withColumnRenamed("n", "times").join(shared, "anchor")
     whole = segments.where("times > 1").select("anchor", "seg", F.lit(0).cast("long").alias("low"), (F.col("last") - F.col("start")).alias("high"))
-    marks = written(whole, "repeats").union(_compared(base, segments.where("kinds > 1"), size))
+    marks = written(whole, "repeats").unionByName(_compared(base, segments.where("kinds > 1"), size))
 
     runs = places.join(marks, ["anchor", "seg"]).select("k1", "k2", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + size).alias("end"))
     runs = runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
@@ -150,50 +150,58 @@ def _compared(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for text, segs in zip(batch.column("text"), batch.column("segs")):
                 data = text.as_buffer()
                 for s in segs.as_py():
-                    rows.append((s["anchor"], s["anchor"], s["seg"], s["lead"] - (s["last"] - s["start"]), s["lead"], data.slice(s["start"], s["last"] - s["start"] + size).to_pybytes()))
+                    rows.append((s["anchor"], s["seg"], s["lead"], data.slice(s["start"], s["last"] - s["start"] + size).to_pybytes()))
                     if len(rows) >= 4096:
                         yield _segments(rows)
                         rows = []
             yield _segments(rows)
 
     texts = base.select(*text_key(), "text").join(per_text, ["k1", "k2"]).select("text", "segs")
-    left = written(texts.mapInArrow(extract, SEGMENTS), "segment-texts").dropDuplicates(["anchor", "seg"])
-    marks = spark.createDataFrame([], "anchor long, seg long, low long, high long")
-    low, high = 0, size - GRAM
+    texts = written(texts.mapInArrow(extract, "anchor long, seg long, lead int, text binary"), "segment-texts").dropDuplicates(["anchor", "seg"])
+    marks = []
+    # key: what all rows of a group share; low, high: distances from a window's start to the anchor, for the row's windows.
+    width = -(-(size - GRAM + 1) // PARTS)
+    left = texts.select(F.col("anchor").alias("key"), "anchor", "seg", "lead", (F.col("lead") - F.length("text") + size).alias("low"), F.col("lead").alias("high"), "text")
     while True:
-        left = written(left, "segment-groups")
-        groups_ = left.groupBy("key").agg(F.sum(F.length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        sized = left.join(groups_, "key")
+        rows = written(left.mapInArrow(_divided(size, width), f"{ROWS}, same long"), "segment-parts")
+        same = rows.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("anchor", "seg", "lead", "low", "high")).alias("one"))
+        same = written(same.select("key", "same", "n", "one.*"), "segment-pieces")
+        twice = rows.join(same.where("n > 1").select("key", "same"), ["key", "same"])
+        marks.append(written(twice.select("anchor", "seg", (F.col("lead") - F.col("high")).cast("long").alias("low"), (F.col("lead") - F.col("low")).cast("long").alias("high")), "repeats"))
+        sized = same.groupBy("key").agg(F.sum(F.col("high") - F.col("low") + size).alias("bytes"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        sized = written(same.drop("n", "same").join(sized, "key"), "segment-groups")
         small = sized.where(F.col("bytes") <= SHARD_BYTES)
-        total = groups_.where(F.col("bytes") <= SHARD_BYTES).agg(F.sum("bytes")).first()[0] or 0
+        total = small.agg(F.sum(F.col("high") - F.col("low") + size)).first()[0] or 0
         if total:
-            shard = F.pmod(F.xxhash64("key"), F.lit(-(-total // SHARD_BYTES))).cast("int")
-            shards = small.select("anchor", "seg", "lead", "high", "text", shard.alias("shard")).groupBy("shard")
-            marks = marks.union(written(shards.applyInArrow(_sorted_shard(size), "anchor long, seg long, low long, high long"), "repeats"))
-        left = sized.where(F.col("bytes") > SHARD_BYTES).select("key", "anchor", "seg", "lead", "low", "high", "text")
-        if left.isEmpty():
-            return marks
-        # Divide the windows of each large group by their distance from the anchor; halves share a longer core.
-        width = -(-(high - low + 1) // 2)
-        left = written(left.mapInArrow(_halved(size, width), SEGMENTS + ", same long"), "segment-halves")
-        high = low + width - 1
-        same = left.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("anchor", "seg")).alias("one"))
-        marked = left.join(same.where("n > 1").select("key", "same"), ["key", "same"])
-        marks = marks.union(written(marked.select("anchor", "seg", (F.col("lead") - F.col("high")).cast("long").alias("low"), (F.col("lead") - F.col("low")).cast("long").alias("high")), "repeats"))
-        left = left.join(same.select("key", "same", F.col("one.anchor").alias("anchor"), F.col("one.seg").alias("seg")), ["key", "same", "anchor", "seg"]).drop("same")
-        if width == 1:
-            return marks
-
-
-# key: what all rows of a group share. lead: from the segment's start to its anchor, in the whole segment. low, high: distances
-# from a window's start to the anchor, for the windows in ``text``.
-SEGMENTS = "key long, anchor long, seg long, lead int, low int, high int, text binary"
+            shard = F.pmod(F.xxhash64("key"), F.lit(-(-total // SHARD_BYTES))).cast("int").alias("shard")
+            shards = small.join(texts.select("anchor", "seg", "text"), ["anchor", "seg"]).select("anchor", "seg", "lead", "high", _piece(size).alias("text"), shard)
+            marks.append(written(shards.groupBy("shard").applyInArrow(_sorted_shard(size), MARKS), "repeats"))
+        large = sized.where(F.col("bytes") > SHARD_BYTES)
+        if width == 1 or large.isEmpty():
+            break
+        width = -(-width // 2)
+        large = large.drop("bytes", "kinds").join(texts.select("anchor", "seg", "text"), ["anchor", "seg"])
+        left = large.select("key", "anchor", "seg", "lead", "low", "high", _piece(size).alias("text"))
+    out = spark.createDataFrame([], MARKS)
+    for each in marks:
+        out = out.unionByName(each)
+    return out
+
+
+PARTS = 8
+MARKS = "anchor long, seg long, low long, high long"
+ROWS = "key long, anchor long, seg long, lead int, low int, high int"
+
+
+def _piece(size: int):
+    """The bytes of the windows at distances from low to high, out of the whole segment."""
+    return F.expr(f"substring(text, lead - high + 1, high - low + {size})")
 
 
 def _segments(rows: list[tuple]) -> pa.RecordBatch:
-    key, anchor, seg, low, lead, text = zip(*rows) if rows else ([],) * 6
-    columns = [pa.array(key, pa.int64()), pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(lead, pa.int32()), pa.array(low, pa.int32()), pa.array(lead, pa.int32()), pa.array(text, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "seg", "lead", "low", "high", "text"])
+    anchor, seg, lead, text = zip(*rows) if rows else ([],) * 4
+    columns = [pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(lead, pa.int32()), pa.array(text, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["anchor", "seg", "lead", "text"])
 
 
 def _sorted_shard(size: int):
@@ -212,32 +220,37 @@ def _sorted_shard(size: int):
     return work
 
 
-def _halved(size: int, width: int):
-    """Each row once per range of ``width`` distances that it has windows in, with the core of that range in its key."""
+def _divided(size: int, width: int):
+    """Each row once per range of ``width`` distances that it has windows in, with the core of that range in its key.
+
+    ``same`` names the bytes of the row's own windows in the range.
+    """
 
     def work(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                text = row["text"]
-                for part in range(row["low"] // width, row["high"] // width + 1):
-                    first, last = part * width, part * width + width - 1  # distances of the range
-                    low, high = max(row["low"], first), min(row["high"], last)
-                    # The anchor is at row["high"] in the text; a window at distance d covers [high - d, high - d + size).
-                    at = row["high"]
-                    core = text[max(0, at - first) : at - last + size] if at - last + size > at - first else b""
-                    piece = text[at - high : at - low + size]
-                    key = _long(_digest(row["key"], part, core))
-                    rows.append({**row, "key": key, "low": low, "high": high, "text": piece, "same": _long(_digest(low, high, piece))})
-            schema = pa.schema([*batch.schema, pa.field("same", pa.int64())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for at in range(0, len(batch), 2048):
+                yield _divided_rows(batch.slice(at, 2048), size, width)
 
     return work
 
 
-def _digest(a: int, b: int, data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=8, key=f"{a}:{b}".encode()).digest()
-
-
-def _long(digest: bytes) -> int:
-    return int.from_bytes(digest, "little", signed=True)
+def _divided_rows(batch: pa.RecordBatch, size: int, width: int) -> pa.RecordBatch:
+    texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
+    base = np.cumsum([0, *map(len, texts)])[:-1]
+    sums = hashes(np.frombuffer(b"".join(texts), np.uint8))
+    key, low, high = (batch.column(n).to_numpy() for n in ("key", "low", "high"))
+    anchor = base + high  # a window at distance d starts at anchor - d
+    parts = []
+    for part in range(int(low.min()) // width, int(high.max()) // width + 1) if len(batch) else ():
+        first, last = part * width, part * width + width - 1
+        i = np.flatnonzero((low <= last) & (high >= first))
+        near, far = np.maximum(low[i], first), np.minimum(high[i], last)
+        core = span_hash(sums, anchor[i] - first, anchor[i] - last + size)
+        piece = span_hash(sums, anchor[i] - far, anchor[i] - near + size)
+        name = mixed(mixed(key[i].view(np.uint64) + np.uint64(part)) ^ core)
+        same = mixed(piece ^ (near.astype(np.uint64) << np.uint64(32)) ^ far.astype(np.uint64))
+        parts.append((i, name.view(np.int64), near.astype(np.int32), far.astype(np.int32), same.view(np.int64)))
+    i, name, near, far, same = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+    kept = batch.select(["anchor", "seg", "lead"]).take(pa.array(i.astype(np.int64)))
+    columns = [pa.array(name), *kept.columns, pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), pa.array(same)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "seg", "lead", "low", "high", "same"])

@@ -6,9 +6,6 @@ import numpy as np
 
 from harborline.llm.shingles import mixed, powers
 
-SMALL = 1024  # alphabets up to this size are induced a bucket at a time
-
-
 def hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which ``span_hash`` gives the hash of any span in constant time."""
     up, down = powers(len(text) + 1)
@@ -29,59 +26,118 @@ def classify(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smaller, leftmost
 
 
-def _spread(target: list[list[np.ndarray]], positions: np.ndarray, symbols: np.ndarray) -> None:
-    if not len(positions):
-        return
+def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A stable order by symbol, the symbols in it, each one's rank among its equals, and distinct symbols with counts."""
     order = np.argsort(symbols, kind="stable")
-    positions, symbols = positions[order], symbols[order]
-    cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    for part, symbol in zip(np.split(positions, cuts), symbols[np.concatenate([[0], cuts])].tolist()):
-        target[symbol].append(part)
+    ranked = symbols[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    counts = np.diff(np.append(first, len(ranked)))
+    return order, ranked, np.arange(len(ranked)) - np.repeat(first, counts), ranked[first], counts
 
 
 def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
-    """The order of all suffixes from that of the leftmost-smaller ones (``seeds``, in order), one bucket at a time.
+    """The order of all suffixes from that of the leftmost-smaller ones (``seeds``, in order).
 
     Scanning the buckets upwards puts every larger suffix behind those already in its bucket; scanning downwards does the
-    same for the smaller suffixes from the end. A scan handles a whole run of entries at once; entries that fall into the
-    bucket being scanned form its next run.
+    same for the smaller suffixes from the end. A step scans as many buckets as it can without putting a suffix into one of
+    them; a bucket that receives suffixes from itself is scanned alone, in runs. Steps work on arrays, whatever the
+    size of the alphabet.
     """
-    sown: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    _spread(sown, seeds, text[seeds])
-    larger: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    for c in range(sigma):
-        run = 0
-        while run < len(larger[c]):
-            before = larger[c][run] - 1
-            before = before[(before >= 0)]
-            before = before[~smaller[before]]
-            _spread(larger, before, text[before])
-            run += 1
-        for part in sown[c]:
-            before = part - 1
-            before = before[before >= 0]
-            before = before[~smaller[before]]
-            _spread(larger, before, text[before])
-    up = [np.concatenate(parts) if parts else np.zeros(0, np.int64) for parts in larger]
-    down: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    down[text[-1]].append(np.array([len(text) - 1]))
-    for c in range(sigma - 1, -1, -1):
-        run = 0
-        while run <= len(down[c]):
-            part = down[c][run] if run < len(down[c]) else up[c][::-1]
-            last = run == len(down[c])
-            before = part - 1
-            before = before[before >= 0]
-            before = before[smaller[before]]
-            _spread(down, before, text[before])
-            run += 1
-            if last:
-                break
-    out = []
-    for c in range(sigma):
-        out.append(up[c])
-        out.extend(part[::-1] for part in reversed(down[c]))
-    return np.concatenate(out)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+    order = np.full(len(text), -1, np.int64)
+    by, symbols, rank, used, counts = _ranks(text[seeds])
+    seeded = starts[symbols.astype(np.int64) + 1] - np.repeat(counts, counts) + rank
+    order[seeded] = seeds[by]
+
+    head = starts[:-1].copy()
+
+    def put_up(entries: np.ndarray) -> None:
+        by, symbols, rank, used, counts = _ranks(text[entries])
+        order[head[symbols] + rank] = entries[by]
+        head[used] += counts
+
+    def larger_before(entries: np.ndarray) -> np.ndarray:
+        before = entries[entries > 0] - 1
+        return before[~smaller[before]]
+
+    c, room = 0, 1024
+    while c < sigma:
+        d = min(sigma, max(c + 1, int(np.searchsorted(starts, starts[c] + room, "right")) - 1))
+        entries = order[starts[c] : starts[d]]
+        before = larger_before(entries[entries >= 0])
+        if not len(before):
+            c = d
+            continue
+        e = min(d, int(text[before].min()))
+        if e > c:
+            if e < d:
+                before = before[text[before + 1] < e]
+                room = max(256, int(starts[e] - starts[c]) * 2)
+            else:
+                room = min(1 << 16, room * 2)
+            if len(before):
+                put_up(before)
+            c = e
+            continue
+        low = int(starts[c])
+        while low < head[c]:
+            high = int(head[c])
+            before = larger_before(order[low:high])
+            if len(before):
+                put_up(before)
+            low = high
+        entries = order[low : starts[c + 1]]
+        before = larger_before(entries[entries >= 0])
+        if len(before):
+            put_up(before)
+        c += 1
+
+    order[seeded] = -1
+    tail = starts[1:].copy()
+    tail[text[-1]] -= 1
+    order[tail[text[-1]]] = len(text) - 1
+
+    def put_down(entries: np.ndarray) -> None:
+        by, symbols, rank, used, counts = _ranks(text[entries])
+        order[tail[symbols] - 1 - rank] = entries[by]
+        tail[used] -= counts
+
+    def smaller_before(entries: np.ndarray) -> np.ndarray:
+        before = entries[entries > 0] - 1
+        return before[smaller[before]]
+
+    c, room = sigma, 1024
+    while c > 0:
+        d = max(0, min(c - 1, int(np.searchsorted(starts, starts[c] - room, "left"))))
+        entries = order[starts[d] : starts[c]][::-1]
+        before = smaller_before(entries[entries >= 0])
+        if not len(before):
+            c = d
+            continue
+        e = max(d, int(text[before].max()) + 1)
+        if e < c:
+            if e > d:
+                before = before[text[before + 1] >= e]
+                room = max(256, int(starts[c] - starts[e]) * 2)
+            else:
+                room = min(1 << 16, room * 2)
+            if len(before):
+                put_down(before)
+            c = e
+            continue
+        high = int(starts[c])
+        while high > tail[c - 1]:
+            low = int(tail[c - 1])
+            before = smaller_before(order[low:high][::-1])
+            if len(before):
+                put_down(before)
+            high = low
+        entries = order[starts[c - 1] : high][::-1]
+        before = smaller_before(entries[entries >= 0])
+        if len(before):
+            put_down(before)
+        c -= 1
+    return order
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
@@ -89,9 +145,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
-    if sigma > SMALL:
-        return np.array(scalar_suffix_array(text.tolist(), sigma), dtype=np.int64)
-    text = text.astype(np.uint16)
+    text = text.astype(np.uint16 if sigma <= 1 << 16 else np.int64)
     smaller, leftmost = classify(text)
     at = np.flatnonzero(leftmost)
     order = induce(text, smaller, at, sigma)
@@ -111,82 +165,30 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     return induce(text, smaller, order, sigma)
 
 
-def scalar_suffix_array(text: list[int], sigma: int) -> list[int]:
-    """The same for large alphabets, where buckets are too small for arrays."""
-    n = len(text)
-    smaller = bytearray(n)
-    smaller[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        smaller[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and smaller[i + 1])
-    sizes = [0] * sigma
-    for c in text:
-        sizes[c] += 1
-    heads, tails, total = [0] * sigma, [0] * sigma, 0
-    for c, size in enumerate(sizes):
-        heads[c], total = total, total + size
-        tails[c] = total
-    at = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-
-    def induced(seeds: list[int]) -> list[int]:
-        order, tail = [-1] * n, tails[:]
-        for i in reversed(seeds):
-            c = text[i]
-            tail[c] -= 1
-            order[tail[c]] = i
-        head = heads[:]
-        for k in range(n):
-            j = order[k] - 1
-            if j >= 0 and not smaller[j]:
-                c = text[j]
-                order[head[c]] = j
-                head[c] += 1
-        tail = tails[:]
-        for k in range(n - 1, -1, -1):
-            j = order[k] - 1
-            if j >= 0 and smaller[j]:
-                c = text[j]
-                tail[c] -= 1
-                order[tail[c]] = j
-        return order
-
-    marks = bytearray(n)
-    for i in at:
-        marks[i] = 1
-    order = [i for i in induced(at) if marks[i]]
-    ends = dict(zip(at, [*at[1:], n - 1]))
-    names, name, before = {}, -1, None
-    for i in order:
-        part = text[i : ends[i] + 1]
-        if part != before:
-            name, before = name + 1, part
-        names[i] = name
-    if name + 1 < len(order):
-        reduced = [names[i] for i in at]
-        order = [at[i] for i in (scalar_suffix_array(reduced, name + 1) if len(reduced) > 1 else [0])]
-    return induced(order)
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """In text order, the common prefix of each suffix and the one before it in sorted order, up to ``limit``.
-
-    Permuted to text order the values need no inverse array; each is found by halving steps on span hashes.
+def common_prefixes(text: np.ndarray, order: np.ndarray, least: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """In text order, the suffix before each one in sorted order, and the length of their common prefix.
+
+    Permuted to text order the lengths need no inverse array. Lengths below ``least`` are given as 0, which takes one
+    comparison of span hashes; longer ones are found up to ``limit`` by halving steps.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     sums, out = hashes(text), np.zeros(n, np.int64)
     here = np.flatnonzero(before >= 0)
-    there, room = before[here], n - np.maximum(here, before[here])
-    length = np.zeros(len(here), np.int64)
-    step = 1 << (limit.bit_length() - 1)
-    while step:
-        fits = np.flatnonzero((length + step <= room) & (length + step <= limit))
-        a, b, size = here[fits] + length[fits], there[fits] + length[fits], step
-        same = span_hash(sums, a, a + size) == span_hash(sums, b, b + size)
-        length[fits[same]] += step
+    here = here[np.maximum(here, before[here]) + least <= n]
+    there = before[here]
+    same = span_hash(sums, here, here + least) == span_hash(sums, there, there + least)
+    here, there = here[same], there[same]
+    length, step = np.full(len(here), least), 1 << max(0, (limit - least).bit_length() - 1)
+    while step and limit > least:
+        fits = np.flatnonzero((length + step <= limit) & (np.maximum(here, there) + length + step <= n))
+        a, b = here[fits] + length[fits], there[fits] + length[fits]
+        longer = span_hash(sums, a, a + step) == span_hash(sums, b, b + step)
+        length[fits[longer]] += step
         step >>= 1
     out[here] = length
-    return out
+    return before, out
 
 
 def repeated_starts(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -199,12 +201,10 @@ def repeated_starts(texts: list[bytes], size: int) -> list[np.ndarray]:
     joined[starts + lengths] = 1
     joined[-1] = 0
     order = suffix_array(joined, 258)
-    prefix = common_prefixes(joined, order, size)
+    before, prefix = common_prefixes(joined, order, size, size)
     whole = np.zeros(len(joined), bool)
     for start, length in zip(starts, lengths):
         whole[start : start + max(0, length - size + 1)] = True
     hit = (prefix >= size) & whole
-    before = np.full(len(joined), -1, np.int64)
-    before[order[1:]] = order[:-1]
     hit[before[np.flatnonzero(hit)]] = True
     return [np.flatnonzero(hit[start : start + max(0, length - size + 1)]) for start, length in zip(starts, lengths)]
