@@ -174,9 +174,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_l
 def best_paths(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     """Per word the language on the best path of its text: the sum of word scores less ``penalty`` for every switch.
 
-    Most texts have one language. If no run of words gains more than ``penalty`` by leaving the text's best single
-    language, no excursion of any number of switches can pay, so that constant path is best. Only the other texts go
-    through the dynamic program, all texts of the group in step.
+    Most texts have one language. If no run of words gains more than half of ``penalty`` by leaving the text's best single
+    language, no path of k > 1 runs can pay for its k - 1 or more switches, so that constant path is best. Only the other
+    texts go through the dynamic program, all texts of the group in step.
     """
     count = len(doc)
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -190,7 +190,7 @@ def best_paths(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarra
     step = float(np.abs(upto).max()) * 2 + 1  # lets the running minimum start anew with each text
     low = np.minimum.accumulate(before - nth[:, None] * step, axis=0) + nth[:, None] * step
     most = np.maximum.reduceat(upto - low, starts, axis=0).max(axis=1)
-    mixed = np.flatnonzero(most > penalty - 1e-3)
+    mixed = np.flatnonzero(most > penalty / 2 - 1e-3)
     if not len(mixed):
         return path
     mixed = mixed[np.argsort(-sizes[mixed], kind="stable")]

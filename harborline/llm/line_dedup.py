@@ -61,10 +61,12 @@ class LineIndex:
         for i, run in enumerate(self.runs):
             keys = keys.join(self._run(run).withColumn(f"in_{i}", F.lit(True)), KEY, "left")
             found = found | F.coalesce(f"in_{i}", F.lit(False))
+        kind = dict(keys.dtypes)["first"]
         name, path = self._store(keys.select(*KEY, "first", "last", found.alias("earlier")), "earlier")
 
         # Read by path, without buckets: both sides are then shuffled and Spark can split a line that is everywhere.
-        repeated = self.spark.read.parquet(path).where(F.col("earlier") | (F.col("first") < F.col("last")))
+        stored = self.spark.read.schema(f"h1 long, h2 long, first {kind}, last {kind}, earlier boolean").parquet(path)
+        repeated = stored.where(F.col("earlier") | (F.col("first") < F.col("last")))
         repeated = repeated.select(*KEY, F.when(~F.col("earlier"), F.col("first")).alias("owner"))
         lost = lines.join(repeated, KEY).where(F.col("owner").isNull() | (F.col("owner") != F.col("id")))
         lost = written(lost.groupBy("id", "text_key").agg(F.collect_set("pos").alias("lost")), "lost-lines")
