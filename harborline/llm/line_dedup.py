@@ -141,7 +141,7 @@ def dedup_lines(
     kept = F.when(F.col("lost").isNull(), text).otherwise(let(lines, rest))
     return unpacked(
         joined,
-        **{name: (kept if name == text_col else field(name)) for name in docs.columns},
+        **{name: (kept if name == text_col else field(name)) for name in docs.columns if name.lower() not in ("n_lines", "n_dropped")},
         n_lines=F.size(lines).cast("long"),
         n_dropped=F.coalesce(F.size("lost"), F.lit(0)).cast("long"),
     )

@@ -137,7 +137,7 @@ def test_secret_patterns_and_random_strings(documents):
         (3, "AKIA" + "A1" * 8 + " AKIA" + "B" * 15),
         (4, "é " + "0123456789abcdef" * 2),
         (5, f"{prose} {base64} {prose}"),
-        (6, f"{prose} section-12-of-the-manual-for-users-version-2 aaaaaaaaaaaaaaaaaaaaaaa1"),
+        (6, f"{prose} section-12-of-the-manual-for-users-version-2 aaaaaaaaaaaaaaaaaaaaa1"),
         (7, None),
         (8, ""),
         (9, "api_key='k' apikey=abcdefg ſecret=abcdefg"),
