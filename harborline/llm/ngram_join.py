@@ -16,7 +16,7 @@ from harborline.session import written
 
 BUCKET_BITS = 16
 ORDERS = [np.uint64(0x1F83D9AB), np.uint64(0x5BE0CD19), np.uint64(0x9B05688C)]
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -35,20 +35,37 @@ def signature(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """One bit per hash slot, set if an odd number of tokens falls into it; about two slots a token, a power of two."""
+    slots = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """False only if the sets cannot reach the threshold: slots that differ need a token that only one of them has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):  # the longer one in fewer slots
+        long_ = a if len(a) > len(b) else b
+        half = long_[: len(long_) // 2] ^ long_[len(long_) // 2 :]
+        a, b = (half, b) if long_ is a else (a, half)
+    most = (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+    return 100 * most >= percent * (n + m - most)
+
+
 def _summaries(batches):
-    """(id, class, n) of every text, then (bucket, count) of the shingles of all texts of the task."""
+    """(id, class, n, parity) of every text, then (bucket, count) of the shingles of all texts of the task."""
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    names = ["id", "class", "n", "bucket", "count"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["id", "class", "n", "parity", "bucket", "count"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
     for batch in batches:
         sets = [s for group in groups(batch.column(1)) for s in shingle_sets(group)]
         if sets:
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         size = len(sets)
-        columns = [batch.column(0), [signature(s) if len(s) else None for s in sets], [len(s) for s in sets], [None] * size, [None] * size]
+        columns = [batch.column(0), [signature(s) if len(s) else None for s in sets], [len(s) for s in sets], [parity(s) for s in sets], [None] * size, [None] * size]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
     used = np.flatnonzero(counts)
-    columns = [[None] * len(used)] * 3 + [used, counts[used]]
+    columns = [[None] * len(used)] * 4 + [used, counts[used]]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
@@ -62,8 +79,9 @@ def near_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     2. Several global token orders put tokens of rare buckets first and differ in the hash that orders a bucket. Two sets
        that reach the threshold share a token of their prefixes under every order. The prefixes under the first order are
        shuffled by token; tokens of one class only end here, which leaves the documents that can have a partner.
-    3. A pair must then share prefix tokens under each other order as well before its whole sets are compared.
-    4. Pairs inside the classes of a token are not all listed. In two rounds each token compares all its classes with one hub;
+    3. Of a pair, first the sizes and a parity bitmap of a few bits per shingle must allow the threshold. Then it must share
+       prefix tokens under each other order as well before its whole sets are compared.
+    4. Pairs inside the classes of a token are not all listed. First each token compares all its classes with one hub;
        what the hub links is one component. Then pairs of classes that share a token are compared unless they already are
        in one component, where another link changes nothing. So a large group of copies costs a multiple of its size, and no
        link between components is lost.
@@ -79,8 +97,8 @@ def near_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     one class. An empty table gives an empty table. Other columns are not read.
     """
     base = as_row(docs).select(field(id_col).cast("long").alias("id"), field(text_col).alias("text"))
-    found = written(base.mapInArrow(_summaries, "id long, class long, n int, bucket int, count long"), "shingle-sets")
-    sets = found.where("bucket IS NULL").select("id", "class", "n")
+    found = written(base.mapInArrow(_summaries, "id long, class long, n int, parity binary, bucket int, count long"), "shingle-sets")
+    sets = found.where("bucket IS NULL").select("id", "class", "n", "parity")
     buckets = found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[buckets["bucket"]] = buckets["count"]
@@ -103,10 +121,10 @@ def near_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
 
     known = base.where(F.col("id").isNotNull())
     rows = known.select("text").mapInArrow(prefixes, "token long, class long")
-    shared = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    members = rows.join(shared, "token").distinct()
-    sizes = sets.where("id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    members = written(members.join(sizes.select("class", "n"), "class"), "prefix-members")
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    members = written(rows.join(shared, "token").distinct(), "prefix-members")
+    sizes = sets.where("id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "n", "parity")).alias("one")).select("class", "one.*")
+    sizes = written(sizes, "shingle-classes")
     links = _links(known, sizes, members, rank, percent)
     grouped = components(links)
 
@@ -123,10 +141,20 @@ def _links(known: DataFrame, sizes: DataFrame, members: DataFrame, rank, percent
     texts = written(known.join(wanted, "id").select("class", "text").dropDuplicates(["class"]), "candidate-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs that are linked; most others end before texts are read."""
+        n = sizes.select("class", "n", "parity")
+        pairs = pairs.join(n.toDF("a", "na", "pa"), "a").join(n.toDF("b", "nb", "pb"), "b").where(near)
+        pairs = written(pairs.mapInArrow(possible, "a long, b long"), "possible-pairs")
         sides = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
         sides = sides.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
         return written(sides.mapInArrow(check, "a long, b long"), "class-links")
 
+    def possible(batches):
+        for batch in batches:
+            sides = zip(*(batch.column(n).to_pylist() for n in ("pa", "na", "pb", "nb")))
+            hits = [may_link(x, n, y, m, percent) for x, n, y, m in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+
     def check(batches):
         for batch in batches:
             hits = []
@@ -136,22 +164,22 @@ def _links(known: DataFrame, sizes: DataFrame, members: DataFrame, rank, percent
                 hits.append(_linked(x, y, rank.value, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hits, pa.bool_()))
 
-    near = F.lit(100) * F.least("n", "other_n") >= F.lit(percent) * F.greatest("n", "other_n")
+    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
     links = None
     left = members.withColumn("group", F.col("class"))
     for turn in range(HUB_ROUNDS):
-        hubs = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "group")).alias("hub"))
-        hubs = hubs.select("token", F.col("hub.class").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.group").alias("other_group"))
-        pairs = left.join(hubs, "token").where(near & (F.col("group") != F.col("other_group")))
+        hubs = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "group")).alias("hub"))
+        hubs = hubs.select("token", F.col("hub.class").alias("other"), F.col("hub.group").alias("other_group"))
+        pairs = left.join(hubs, "token").where(F.col("group") != F.col("other_group"))
         pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         new = verified(pairs)
         links = new if links is None else links.union(new)
         group = written(components(links), "class-groups")
-        left = members.join(group.withColumnRenamed("id", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("group"))
+        left = members.join(group.withColumnRenamed("id", "class"), "class", "left").select("token", "class", F.coalesce("component", "class").alias("group"))
         split = left.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
         left = written(left.join(split, "token"), "split-tokens")
-    other = left.select("token", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
-    pairs = left.join(other, "token").where(near & (F.col("class") < F.col("other")) & (F.col("group") != F.col("other_group")))
+    other = left.select("token", F.col("class").alias("other"), F.col("group").alias("other_group"))
+    pairs = left.join(other, "token").where((F.col("class") < F.col("other")) & (F.col("group") != F.col("other_group")))
     return links.union(verified(pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()))
 
 

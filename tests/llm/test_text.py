@@ -127,6 +127,20 @@ def test_every_pair_over_the_threshold_shares_prefixes_in_every_order():
                 assert len(np.intersect1d(ngram_join.prefix(x, rank, order, 75), ngram_join.prefix(y, rank, order, 75)))
 
 
+def test_parity_never_rejects_a_linked_pair():
+    rng = np.random.default_rng(6)
+    rejected = 0
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 90))).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.2, 0.9, 1.0])], rng.integers(0, 1 << 62, int(rng.integers(0, 60))).astype(np.uint64)]))
+        if len(y):
+            common = len(np.intersect1d(x, y))
+            may = ngram_join.may_link(ngram_join.parity(x), len(x), ngram_join.parity(y), len(y), 75)
+            assert may or 100 * common < 75 * (len(x) + len(y) - common)
+            rejected += not may
+    assert rejected > 100
+
+
 def test_secret_patterns_and_random_strings(documents):
     rng = random.Random(9)
     base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64))
