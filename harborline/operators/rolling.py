@@ -8,35 +8,39 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HEAVY_ROWS = 20_000_000
-MAX_HEAVY_KEYS = 10_000
 ROWS_PER_BLOCK = 1_000_000
-MAX_SLICES = 1024
 NO_DAY = -(1 << 40)  # sorts before every day, like a NULL date
 _DAY, _SLICE = "_block_day", "_block_slice"
 
 
-def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS, most: int = MAX_HEAVY_KEYS) -> DataFrame:
-    """The keys with the most rows: those with at least ``min_rows``, and no more than ``most`` of them.
+def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """All keys with at least ``min_rows`` rows.
 
-    The list only decides which keys are cut into blocks. A key beyond the limit keeps its single, smaller
-    partition, and results are the same either way.
+    The table only decides which keys are cut into blocks; results are the same either way. It has at most
+    rows / ``min_rows`` entries.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= min_rows)
-    return counted.orderBy(F.col("_rows").desc(), *keys).limit(most).select(*keys)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counted.filter(F.col("_rows") >= min_rows).select(*keys)
 
 
-def day_slices(df: DataFrame, day: str, number: str, rows: int = ROWS_PER_BLOCK, most: int = MAX_SLICES) -> DataFrame:
-    """One row (low, high, parts, days): how to cut rows into blocks of about ``rows``, judged by the busiest day.
+def day_slices(df: DataFrame, day: str, number: str, rows: int = ROWS_PER_BLOCK) -> DataFrame:
+    """One row per day (day, low, high, parts, days): how to cut rows into blocks of about ``rows``.
 
-    A busy day is cut into ``parts`` ranges of ``number`` between low and high; quiet days are taken ``days`` at a
-    time. It only steers how rows are spread, so a cheaper frame with about the same rows will do.
+    A busy day is cut into ``parts`` ranges of ``number`` between that day's own low and high, so numbers that ascend with
+    the date are cut as well; if all days are quiet, they are taken ``days`` at a time. It only steers how rows are
+    spread, so a cheaper frame with about the same rows will do. It has one row per date: write it once, and Spark knows
+    its size when it chooses the join.
     """
-    per_day = df.groupBy(day).agg(F.count(F.lit(1)).alias("rows"), F.min(number).alias("low"), F.max(number).alias("high"))
-    return per_day.agg(
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.least(F.lit(most), F.ceil(F.max("rows") / rows)).cast("bigint").alias("parts"),
-        F.greatest(F.lit(1), F.floor(rows / F.max("rows"))).cast("bigint").alias("days"),
+    per_day = df.groupBy(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(number).alias("low"), F.max(number).alias("high")
+    )
+    busiest = per_day.select(F.max("rows")).scalar()
+    return per_day.select(
+        "day",
+        "low",
+        "high",
+        F.ceil(F.col("rows") / rows).cast("bigint").alias("parts"),
+        F.greatest(F.lit(1), F.floor(F.lit(rows) / busiest)).cast("bigint").alias("days"),
     )
 
 
@@ -58,7 +62,7 @@ def rolling(
     of keys, or ``"all"`` when the key itself has few values.
 
     A heavy key is cut into blocks by day; with ``slices`` (see ``day_slices``) by several days or, within a day, by
-    ranges of the first tie-breaking number. Blocks follow the sort order.
+    ranges of the first tie-breaking number among those of the day. Blocks follow the sort order.
     Each block is a window partition of its own and starts with copies of the ``rows - 1`` rows before it, which
     are dropped afterwards. Copies come from the last ``rows - 1`` rows of earlier blocks only. They are taken from
     ``copies_from`` when given: the same rows before other columns were added, which is cheaper to read again.
@@ -68,20 +72,22 @@ def rolling(
         return df.withColumns({name: build(frame) for name, build in measures.items()})
 
     def blocked(rows_in: DataFrame) -> DataFrame:
+        names = rows_in.columns
         day = F.datediff(F.col(order[0]), F.lit("1970-01-01").cast("date"))
         number = F.lit(0).cast("bigint")
         if slices is not None:
-            span = slices.select(F.struct("low", "high", "parts", "days")).scalar()  # one subquery, evaluated once
-            day = F.floor(day / span["days"])
-            # equal ranges of the number, in its order; NULL sorts first and gets the lowest slice
-            bucket = F.width_bucket(F.col(order[1]), span["low"], span["high"] + 1, span["parts"])
-            number = F.coalesce(F.when(span["parts"] > 1, bucket).otherwise(0), F.lit(-1)).cast("bigint")
+            cuts = slices.select(*(F.col(name).alias(f"_cut_{name}") for name in ("day", "low", "high", "parts")))
+            rows_in = rows_in.join(cuts, day.eqNullSafe(F.col("_cut_day")), "left")
+            # equal ranges of the day's numbers, in their order; NULL sorts first and gets the lowest slice
+            bucket = F.width_bucket(F.col(order[1]), F.col("_cut_low"), F.col("_cut_high") + 1, F.col("_cut_parts"))
+            number = F.coalesce(F.when(F.col("_cut_parts") > 1, bucket).otherwise(0), F.lit(-1)).cast("bigint")
+            day = F.floor(day / slices.select(F.max("days")).scalar())
         day = F.coalesce(day, F.lit(NO_DAY)).cast("bigint")
         if isinstance(heavy, str):
-            return rows_in.select("*", day.alias(_DAY), number.alias(_SLICE))
-        marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
+            return rows_in.select(*names, day.alias(_DAY), number.alias(_SLICE))
+        marks = heavy.select(*keys, F.lit(True).alias("_heavy"))
         labels = [F.when(F.col("_heavy"), value).alias(name) for value, name in ((day, _DAY), (number, _SLICE))]
-        return rows_in.join(marks, keys, "left").select(*rows_in.columns, *labels)
+        return rows_in.join(marks, keys, "left").select(*names, *labels)
 
     block = [*keys, _DAY, _SLICE]
     needed = list(dict.fromkeys([*keys, *order, *inputs]))

@@ -121,12 +121,15 @@ def intelligence_inventory(inventory: DataFrame) -> DataFrame:
 def monthly_lags(sales: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Monthly units with the three months before and their mean; per key, or for the whole network.
 
-    The window sees one row per key and month.
+    The window sees one row per key and month; months without a sale between a key's first and last count as 0.
     """
     keys = keys or []
-    monthly = sales.groupBy(*keys, F.trunc("order_date", "month").alias("month_start")).agg(
+    sold = sales.groupBy(*keys, F.trunc("order_date", "month").alias("month_start")).agg(
         F.sum("quantity").cast("double").alias("demand")
     )
+    span = sold.groupBy(*keys).agg(F.min("month_start").alias("first"), F.max("month_start").alias("last"))
+    months = F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month_start")
+    monthly = span.select(*keys, months).join(sold, [*keys, "month_start"], "left").fillna(0.0, ["demand"])
     in_time = Window.partitionBy(*keys).orderBy("month_start")
     lags = {f"lag_{n}": F.lag("demand", n).over(in_time) for n in (1, 2, 3)}
     return monthly.withColumns(lags).withColumns(

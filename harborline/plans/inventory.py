@@ -61,5 +61,7 @@ def items(inventory: DataFrame, sales: DataFrame, n: int = 200) -> DataFrame:
     )
 
 
-def critical_sku_count(stock_items: DataFrame) -> DataFrame:
-    return stock_items.agg(count_where(F.col("status") == "Critical").alias("critical_skus"))
+def critical_sku_count(inventory: DataFrame) -> DataFrame:
+    """Critical rows of the whole current stock, not only of the list on show."""
+    status = bands.stock_status(F.col("current_stock"), F.col("reorder_point"))
+    return latest_inventory(inventory).agg(count_where(status == "Critical").alias("critical_skus"))

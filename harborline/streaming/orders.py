@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.functions.measures import clamp, count_where, percent
-from harborline.plans.demand import with_band
+from harborline.plans.demand import LEAST_BAND
 from harborline.plans.scoring import forecast_demand, keep_failed, score_risk, two_digits
 from harborline.session import fresh_path
 
@@ -179,7 +179,7 @@ def live_accuracy(points: DataFrame) -> DataFrame:
     """100 less the error of the shown demand points against their three-month mean, in percent."""
     missed = F.sum(F.abs(F.col("predicted_demand") - F.col("rolling_mean_3")))
     actual = F.sum("rolling_mean_3")
-    share = F.coalesce(F.try_divide(missed, actual), F.lit(0.0))
+    share = F.coalesce(missed / F.when(actual == 0, F.lit(1.0)).otherwise(actual), F.lit(0.0))
     return points.agg(clamp(F.lit(100.0) - share * 100).alias("accuracy"))
 
 
@@ -188,5 +188,8 @@ def live_demand_series(points: DataFrame) -> DataFrame:
     series = points.withColumn("actual", F.bround("rolling_mean_3").cast("decimal(18,2)")).withColumn(
         "forecast", F.bround("predicted_demand").cast("decimal(18,2)")
     )
+    least = F.bround(F.abs(F.col("forecast")) * F.lit(LEAST_BAND))  # a whole number, ties to even
+    band = F.greatest(F.abs(F.col("actual") - F.col("forecast")), least)
+    series = series.withColumn("upper", F.col("forecast") + band).withColumn("lower", F.greatest(F.lit(0), F.col("forecast") - band))
     columns = [F.col(name).cast("double").alias(name) for name in ("actual", "forecast", "upper", "lower")]
-    return with_band(series).select("period", *columns)
+    return series.select("period", *columns)

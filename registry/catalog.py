@@ -623,8 +623,8 @@ register(
 )
 register(
     "critical_sku_count",
-    lambda L: inventory.critical_sku_count(inventory.items(L.inventory_features, L.sales_ml)),
-    "SELECT count(*) FILTER (status = 'Critical') AS critical_skus FROM v_items",
+    lambda L: inventory.critical_sku_count(L.inventory_features),
+    "SELECT count(*) FILTER (reorder_point > 0 AND current_stock < 0.8 * reorder_point) AS critical_skus FROM v_current",
 )
 RANK_PRODUCT = """SELECT row_number() OVER o AS rank, * FROM (SELECT product_id, sum(sales)::DOUBLE AS total_sales,
   sum(profit)::DOUBLE AS total_profit, count(DISTINCT order_id) AS orders FROM v_rows GROUP BY ALL)
@@ -673,7 +673,7 @@ register(
 def _customer_windows(L: Layers) -> DataFrame:
     # low limits, so that large customers are cut within days and small ones take the plain path
     heavy = rolling.heavy_keys(L.sales, ["customer_id"], min_rows=45)
-    slices = rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=6)
+    slices = written(rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=6), "day-slices")
     return gold.rolling_customer(L.joined, heavy, slices).select(
         "order_id", "product_id", "order_date", "avg_order_value_30d", "num_orders_30d"
     )
@@ -687,7 +687,7 @@ register(
 register(
     "rolling_mode_30",
     # small blocks of a few days, so that block borders are crossed at every size
-    lambda L: gold.rolling_mode(L.joined, rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=300)).select(
+    lambda L: gold.rolling_mode(L.joined, written(rolling.day_slices(L.table("orders"), "o_orderdate", "o_orderkey", rows=300), "day-slices")).select(
         "order_id", "product_id", "order_date", "avg_lead_time_by_mode", "late_delivery_rate_by_mode"
     ),
     "SELECT order_id, product_id, order_date::VARCHAR AS order_date, avg_lead_time_by_mode, late_delivery_rate_by_mode FROM v_rows",
@@ -705,13 +705,16 @@ register(
     """SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderkey, o_totalprice FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC, o_totalprice DESC) = 1""",
 )
+SOLD = "SELECT product_id, date_trunc('month', order_date)::DATE AS month_start, sum(quantity)::DOUBLE AS demand FROM v_sales GROUP BY ALL"
 register(
     "demand_lags",
     lambda L: demand.monthly_lags(L.sales, ["product_id"]),
-    """SELECT product_id, month_start::VARCHAR AS month_start, demand, lag(demand, 1) OVER w AS lag_1, lag(demand, 2) OVER w AS lag_2,
+    f"""SELECT product_id, month_start::VARCHAR AS month_start, demand, lag(demand, 1) OVER w AS lag_1, lag(demand, 2) OVER w AS lag_2,
       lag(demand, 3) OVER w AS lag_3, (lag(demand, 1) OVER w + lag(demand, 2) OVER w + lag(demand, 3) OVER w) / 3 AS rolling_mean_3,
       month(month_start) AS month
-    FROM (SELECT product_id, date_trunc('month', order_date)::DATE AS month_start, sum(quantity)::DOUBLE AS demand FROM v_sales GROUP BY ALL) m
+    FROM (SELECT product_id, month_start, coalesce(demand, 0) AS demand FROM (SELECT product_id,
+        unnest(generate_series(min(month_start), max(month_start), INTERVAL 1 MONTH))::DATE AS month_start FROM ({SOLD}) GROUP BY product_id)
+      LEFT JOIN ({SOLD}) USING (product_id, month_start)) m
     WINDOW w AS (PARTITION BY product_id ORDER BY m.month_start)""",
 )
 
@@ -1308,7 +1311,7 @@ register(
     "live_demand_series",
     lambda L: live.live_demand_series(_last_demand(L)),
     """SELECT period, a::DOUBLE AS actual, f::DOUBLE AS forecast, (f + band)::DOUBLE AS upper, greatest(0, f - band)::DOUBLE AS lower FROM (
-      SELECT *, greatest(abs(a - f), abs(f) * 0.08) AS band FROM (
+      SELECT *, greatest(abs(a - f), round_even(abs(f) * 0.08, 0)) AS band FROM (
         SELECT strftime(month_start, '%b %Y') AS period, round_even(round(mean3::DECIMAL(28,8), 2)::DOUBLE, 0)::DECIMAL(18,2) AS a,
           round_even(predicted_demand, 0)::DECIMAL(18,2) AS f FROM v_forecasts WHERE predicted_demand IS NOT NULL
         ORDER BY month_start DESC LIMIT 10))""",
@@ -1316,7 +1319,7 @@ register(
 register(
     "live_accuracy",
     lambda L: digits(live.live_accuracy(_last_demand(L)), 6, "accuracy"),
-    """SELECT round(least(100, greatest(0, 100 - sum(abs(predicted_demand - m)) / sum(m) * 100)), 6) AS accuracy FROM (
+    """SELECT round(least(100, greatest(0, 100 - sum(abs(predicted_demand - m)) / CASE WHEN sum(m) = 0 THEN 1 ELSE sum(m) END * 100)), 6) AS accuracy FROM (
       SELECT predicted_demand, round(mean3::DECIMAL(28,8), 2)::DOUBLE AS m FROM v_forecasts WHERE predicted_demand IS NOT NULL
       ORDER BY month_start DESC LIMIT 10)""",
 )

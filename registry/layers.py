@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from harborline.operators.rolling import day_slices, heavy_keys
 from harborline.plans import gold, silver
+from harborline.session import written
 from harborline.sources import bindings
 
 AS_OF = bindings.AS_OF
@@ -92,8 +93,8 @@ class Layers:
 
     @cached_property
     def slices(self) -> DataFrame:
-        # orders stand in for order rows: the split needs the busiest day and the id range, not exact counts
-        return day_slices(self.table("orders"), "o_orderdate", "o_orderkey")
+        # orders stand in for order rows: the split needs about the rows and ids of each day, not exact counts
+        return written(day_slices(self.table("orders"), "o_orderdate", "o_orderkey"), "day-slices")
 
     @cached_property
     def rows(self) -> DataFrame:

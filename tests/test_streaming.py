@@ -97,5 +97,5 @@ def test_demand_events_and_series(spark):
     points = live.demand_events(lags)
     assert (points.first().predicted_demand, points.first().rolling_mean_3) == (4525.8, 4548.0)
     series = live.live_demand_series(points).first()
-    assert (series.actual, series.forecast, series.upper, series.lower) == (4548.0, 4526.0, 4888.08, 4163.92)
+    assert (series.actual, series.forecast, series.upper, series.lower) == (4548.0, 4526.0, 4888.0, 4164.0)
     assert round(live.live_accuracy(points).first().accuracy, 4) == round(100 - 22.2 / 4548 * 100, 4)
