@@ -116,7 +116,7 @@ def test_ngram_join_edges(spark, documents):
 
 def test_every_pair_over_the_threshold_shares_prefixes_in_every_order():
     rng = np.random.default_rng(4)
-    rank = rng.permutation(1 << 16).astype(np.uint64)
+    counts = rng.integers(0, 6, 1 << ngram_join.BUCKET_BITS).astype(np.uint32)
     for _ in range(300):
         n = int(rng.integers(1, 40))
         x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
@@ -124,7 +124,11 @@ def test_every_pair_over_the_threshold_shares_prefixes_in_every_order():
         common = len(np.intersect1d(x, y))
         if 100 * common >= 75 * (len(x) + len(y) - common):
             for order in ngram_join.ORDERS:
-                assert len(np.intersect1d(ngram_join.prefix(x, rank, order, 75), ngram_join.prefix(y, rank, order, 75)))
+                a, b = (ngram_join.prefix(s, counts, order, 75) for s in (x, y))
+                _, i, j = np.intersect1d(a, b, return_indices=True)
+                assert len(i)
+                # the bound at the first common token must not rule the pair out
+                assert 175 * min(len(x) - i.min(), len(y) - j.min()) >= 75 * (len(x) + len(y))
 
 
 def test_parity_never_rejects_a_linked_pair():
