@@ -140,7 +140,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_l
         size = FEATURES + len(NAMES)
         for batch in batches:
             langs, at = batch.column(0).to_pylist(), 0
-            for group in chunks(batch.column(1).to_pylist()):
+            for group in chunks(text.as_py() for text in batch.column(1)):
                 found = find_words(group)
                 of = found.doc[np.searchsorted(found.first, np.arange(len(found.feature)), "right") - 1] if len(found.feature) else found.doc
                 ends = np.concatenate([found.first[1:], [len(found.feature)]]) if len(found.first) else found.first
@@ -259,7 +259,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, text_
     @F.arrow_udf("struct<lang string, score double, spans array<struct<start int, end int, lang string>>>")
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [pa.array(label_group(shared.value, group, penalty), RESULT) for group in chunks(batch.to_pylist())]
+            parts = [pa.array(label_group(shared.value, group, penalty), RESULT) for group in chunks(text.as_py() for text in batch)]
             yield pa.concat_arrays(parts) if parts else pa.array([], RESULT)
 
     labelled = as_row(docs).withColumn("found", label(field(text_col)))
