@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # The white space of all operators: space and the control characters from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,5 +57,11 @@ def replaced(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select(*((column if each == name else field(each)).alias(each) for each in names))
 
 
+def small_text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts are wide rows: pass fewer of them to Python at a time, unless the session has its own setting."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import as_row, field, unpacked
+from harborline.llm.common import as_row, field, small_text_batches, unpacked
 
 # First and last code point of the blocks of each script.
 SCRIPTS = {
@@ -133,6 +133,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_l
     Rows without a language or a letter teach nothing; without any row the model knows no language. More than ``max_langs``
     languages are an error. A language uses a script if it makes ``min_share`` of its letters.
     """
+    small_text_batches(docs.sparkSession)
     rows = as_row(docs).select(field(lang_col).cast("string").alias("lang"), field(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def count(batches):
@@ -194,27 +195,27 @@ def best_paths(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarra
     if not len(mixed):
         return path
     mixed = mixed[np.argsort(-sizes[mixed], kind="stable")]
-    steps, langs = sizes[mixed[0]], scores.shape[1]
-    stay = np.zeros((steps, len(mixed), langs), bool)
-    leader = np.zeros((steps, len(mixed)), np.int32)
+    langs = scores.shape[1]
+    running = np.searchsorted(-sizes[mixed], -np.arange(sizes[mixed[0]]), "left")  # texts longer than each step
+    base = np.concatenate([[0], np.cumsum(running)])  # one slot per word: text i at step t has slot base[t] + i
+    stay = np.zeros((base[-1], langs), bool)
+    leader = np.zeros(base[-1], np.int32)
     value = scores[starts[mixed]].copy()
-    ended = np.zeros(len(mixed), np.int64)
-    for t in range(steps):
-        active = int(np.searchsorted(-sizes[mixed], -t, "left"))  # texts longer than t
+    for t, active in enumerate(running.tolist()):
         if t:
-            now = value[:active]
+            now, slots = value[:active], slice(base[t], base[t + 1])
             top = now.argmax(axis=1)
             best = now[np.arange(active), top][:, None] - penalty
-            leader[t, :active] = top
-            stay[t, :active] = now >= best
+            leader[slots] = top
+            stay[slots] = now >= best
             value[:active] = np.maximum(now, best) + scores[starts[mixed[:active]] + t]
     ended = value.argmax(axis=1)
     for i, d in enumerate(mixed):
         lang = ended[i]
         for t in range(sizes[d] - 1, -1, -1):
             path[starts[d] + t] = lang
-            if t and not stay[t, i, lang]:
-                lang = leader[t, i]
+            if t and not stay[base[t] + i, lang]:
+                lang = leader[base[t] + i]
     return path
 
 
@@ -254,6 +255,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, text_
     Null and empty texts and texts without a letter are ``und`` with score 0 and no spans, as is everything if the model
     knows no language. Long texts are handled whole. Repeated rows are each returned; an empty table gives an empty table.
     """
+    small_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
 
     @F.arrow_udf("struct<lang string, score double, spans array<struct<start int, end int, lang string>>>")
