@@ -238,6 +238,9 @@ DELIVERY = [
     "feature_date",
 ]
 
+# What the moving windows add; readers that need none of it drop these, and no window is computed.
+WINDOWED = ["avg_order_value_30d", "num_orders_30d", "avg_lead_time_by_mode", "late_delivery_rate_by_mode"]
+
 # The fields of the flat order record, in the order its text form lists them.
 FLAT_RECORD = [
     "order_id",

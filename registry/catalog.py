@@ -747,7 +747,7 @@ def _bulk_report(records: DataFrame) -> DataFrame:
 
 register(
     "unprofitable_bulk_orders",
-    lambda L: _bulk_report(written(L.flat, "flat")),
+    lambda L: _bulk_report(written(L.flat.drop(*gold.WINDOWED), "flat")),
     f"SELECT *, IF(rank = 1, (SELECT count(*) FROM v_rows WHERE quantity > 5 AND profit <= 0), NULL) AS all_rows FROM ({BULK})",
 )
 LONGEST = """SELECT row_number() OVER o AS rank, order_id, product_id, lead_time, shipping_mode FROM v_rows
@@ -1230,7 +1230,7 @@ def _answer_sql() -> str:
     )
 
 
-register("exact_answer_docs", lambda L: answers.answer_documents(written(L.flat, "flat")), _answer_sql())
+register("exact_answer_docs", lambda L: answers.answer_documents(written(L.flat.drop(*gold.WINDOWED), "flat")), _answer_sql())
 
 # --- 2.12 streams ---------------------------------------------------------------------------------------------------
 
