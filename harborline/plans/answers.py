@@ -118,18 +118,51 @@ def _count(name: str) -> Column:
     return grouped(F.col(name))
 
 
-def _document(lines: DataFrame, source: str, heading: str) -> DataFrame:
+# What stands for {scope} in a heading, for all records and for a part of them.
+ALL_ROWS = "all {rows} available order rows"
+SOME_ROWS = "the requested time period ({rows} order rows)"
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return text
+
+
+def _heading_values(records: DataFrame, whole: DataFrame | None) -> dict[str, Column]:
+    """Counts that headings mention, as text: one pass over the records, shared by all headings."""
+    unprofitable = (F.col("is_bulk_order") == 1) & (F.col("is_profitable") == 0)
+    counted = records.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(unprofitable).alias("bulk"),
+            F.count_if(F.col("is_late_delivery") == 1).alias("late"),
+        )
+    ).scalar()
+    rows = counted.getField("rows")
+    scope = _filled(ALL_ROWS, {"rows": grouped(rows)})
+    if whole is not None:
+        every = whole.agg(F.count(F.lit(1))).scalar()
+        scope = F.when(rows == every, scope).otherwise(_filled(SOME_ROWS, {"rows": grouped(rows)}))
+    return {"scope": scope, "bulk": grouped(counted.getField("bulk")), "late": grouped(counted.getField("late"))}
+
+
+def _document(lines: DataFrame, source: str, heading: Column) -> DataFrame:
     """One text from (rank, line) rows of a short report: the heading, then its lines in order."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda entry: entry["line"])
-    body = F.array_join(F.concat(F.array(F.lit(heading)), ordered), "\n")
-    return lines.agg(body.alias("content")).select("content", F.lit(source).alias("source"), F.lit(1.0).alias("similarity"))
+    ordered = F.transform(F.sort_array("entries"), lambda entry: entry["line"])
+    body = F.array_join(F.concat(F.array(heading), ordered), "\n")
+    packed = lines.agg(F.collect_list(F.struct("rank", "line")).alias("entries"))
+    return packed.select(body.alias("content"), F.lit(source).alias("source"), F.lit(1.0).alias("similarity"))
 
 
-def answer_documents(records: DataFrame) -> DataFrame:
+def answer_documents(records: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """The eight reports as texts (content, source, similarity) over all given records.
 
-    Sources, headings and line forms are fixed values that existing consumers show as they are.
+    Headings tell how many rows were read; with ``whole`` given, whether ``records`` are all of them or a part. Sources,
+    headings and line forms are fixed values that existing consumers show as they are.
     """
+    values = _heading_values(records, whole)
     by_quarter = sales_profit_by_quarter(records).withColumn("rank", F.col("year") * 10 + F.col("quarter"))
     parts = [
         (
@@ -139,7 +172,7 @@ def answer_documents(records: DataFrame) -> DataFrame:
                       _dollars("total_profit"), "; ", _count("orders"), " orders.")
             ),
             "Full-dataset product-sales calculation",
-            "Product-sales ranking:",
+            "Exact product-sales ranking calculated from {scope}:",
         ),
         (
             department_shipping_cost(records),
@@ -148,14 +181,14 @@ def answer_documents(records: DataFrame) -> DataFrame:
                       _count("orders"), " orders.")
             ),
             "Full-dataset department shipping-cost calculation",
-            "Department shipping-cost ranking:",
+            "Exact department shipping-cost ranking calculated from {scope}:",
         ),
         (
             by_quarter,
             _join("Year ", F.col("year"), ", Q", F.col("quarter"), ": total sales ", _dollars("total_sales"),
                   "; total profit ", _dollars("total_profit"), "; ", _count("orders"), " orders."),
             "Full-dataset sales and profit comparison",
-            "Sales and profit comparison:",
+            "Exact sales and profit comparison calculated from {scope}:",
         ),
         (
             lowest_profit_bulk_orders(records),
@@ -163,39 +196,39 @@ def answer_documents(records: DataFrame) -> DataFrame:
                   plain(F.col("quantity")), "; sales ", _dollars("sales"), "; profit ", _dollars("profit"),
                   "; profit margin ", fixed(F.col("profit_margin") * 100, 2), "%."),
             "Full-dataset unprofitable bulk-order calculation",
-            "The lowest-profit bulk orders:",
+            "Exact bulk-order profitability result from {scope}: {bulk} bulk orders are not profitable.\nThe following are the 10 lowest-profit orders:",
         ),
         (
             late_by_market_department(records),
             _join(F.col("market"), " / ", F.col("department"), ": ", _count("late_orders"),
                   " late orders; average lead time ", fixed(F.col("average_lead_time"), 2), " days."),
             "Full-dataset late-order calculation",
-            "Late-order overview:",
+            "Exact late-order overview calculated from {scope}: {late} late orders.",
         ),
         (
             lead_time_by_mode(records),
             _join(F.col("shipping_mode"), ": average lead time ", fixed(F.col("average_lead_time"), 2),
                   " days across ", _count("orders"), " orders."),
             "Full-dataset shipping-mode lead-time calculation",
-            "Shipping-mode lead-time comparison:",
+            "Exact shipping-mode lead-time comparison calculated from {scope}:",
         ),
         (
             longest_lead_orders(records),
             _join("Order ", F.col("order_id"), ": lead time ", plain(F.col("lead_time")), " days; product ID ",
                   F.col("product_id"), "; shipping mode ", F.col("shipping_mode"), "."),
             "Full-dataset lead-time calculation",
-            "Longest-lead-time orders:",
+            "Exact longest-lead-time orders from {scope}:",
         ),
         (
             largest_quantity_orders(records),
             _join("Order ", F.col("order_id"), ": quantity ", plain(F.col("quantity")), "; sales ", _dollars("sales"),
                   "; product ID ", F.col("product_id"), "."),
             "Full-dataset quantity calculation",
-            "Largest-quantity orders:",
+            "Exact largest-quantity orders from {scope}:",
         ),
     ]
     result = None
     for rows, line, source, heading in parts:
-        document = _document(rows.select(F.col("rank").cast("int").alias("rank"), line.alias("line")), source, heading)
+        document = _document(rows.select(F.col("rank").cast("int").alias("rank"), line.alias("line")), source, _filled(heading, values))
         result = document if result is None else result.unionByName(document)
     return result

@@ -252,9 +252,10 @@ def replenishment_candidates(inventory: DataFrame, n: int = 4) -> DataFrame:
         ).alias("description"),
         F.lit("review").alias("status"),
     )
+    # fixed values: what stands in an empty list
     nothing = inventory.sparkSession.sql(
         "SELECT 'd1' AS id, 'No replenishment action' AS title, "
-        "'No product-store pairs are below their reorder point.' AS description, 'executed' AS status"
+        "'Gold inventory features show no product-store pairs below reorder point.' AS description, 'executed' AS status"
     )
     both = low.withColumn("part", F.lit(0)).unionByName(nothing.withColumn("part", F.lit(1)))
     # the window sees at most n + 1 rows

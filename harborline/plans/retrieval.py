@@ -78,11 +78,15 @@ def pending(chunks: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def documents_to_vectors(documents: DataFrame) -> DataFrame:
-    """Documents with content as (id, content, source); the id is a stable hash of the content."""
-    digest = F.sha2(F.col("content").cast("binary"), 256)
-    return documents.filter(F.trim("content") != "").select(
-        F.concat(F.lit("upload_"), digest).alias("id"), "content", F.coalesce("source", F.lit("unknown")).alias("source")
-    )
+    """Documents as (id, content, source), each content once; the id is a stable hash of the content.
+
+    Equal contents are one document, with the first of their sources by name. Empty contents are kept, NULL counts as empty.
+    """
+    content = F.coalesce("content", F.lit(""))
+    digest = F.sha2(content.cast("binary"), 256)
+    source = F.coalesce("source", F.lit("unknown"))
+    rows = documents.select(F.concat(F.lit("upload_"), digest).alias("id"), content.alias("content"), source.alias("source"))
+    return keep_first(rows, ["id"], [F.col("source")])
 
 
 def corpus_status(corpus: DataFrame, namespace: str = "namespace") -> DataFrame:

@@ -646,7 +646,18 @@ register(
     RANK_DEPARTMENT.format(cost="round(cost, 6)"),
 )
 register("sales_profit_by_quarter", lambda L: answers.sales_profit_by_quarter(L.flat), BY_QUARTER)
-register("late_by_market_dept", lambda L: answers.late_by_market_department(L.flat), LATE_PAIRS)
+
+
+def _late_report(records: DataFrame) -> DataFrame:
+    total = answers.late_orders(records).agg(F.count(F.lit(1)).alias("all_rows"))
+    return answers.late_by_market_department(records).join(total.withColumn("rank", F.lit(1)), "rank", "left")
+
+
+register(
+    "late_by_market_dept",
+    lambda L: _late_report(L.flat),
+    f"SELECT *, IF(rank = 1, (SELECT count(*) FROM v_rows WHERE is_late_delivery = 1), NULL) AS all_rows FROM ({LATE_PAIRS})",
+)
 register("lead_time_by_mode", lambda L: answers.lead_time_by_mode(L.flat), MODE_LEAD)
 
 
@@ -747,7 +758,7 @@ def _bulk_report(records: DataFrame) -> DataFrame:
 
 register(
     "unprofitable_bulk_orders",
-    lambda L: _bulk_report(written(L.flat.drop(*gold.WINDOWED), "flat")),
+    lambda L: _bulk_report(_records(L)),
     f"SELECT *, IF(rank = 1, (SELECT count(*) FROM v_rows WHERE quantity > 5 AND profit <= 0), NULL) AS all_rows FROM ({BULK})",
 )
 LONGEST = """SELECT row_number() OVER o AS rank, order_id, product_id, lead_time, shipping_mode FROM v_rows
@@ -1052,7 +1063,7 @@ register("embed_resume", _resume, f"SELECT id, text FROM ({CHUNKS_SQL}) WHERE sh
 register(
     "ingest_documents",
     lambda L: retrieval.documents_to_vectors(L.table("documents").select(F.col("text").alias("content"), "source")),
-    "SELECT 'upload_' || sha256(text) AS id, text AS content, ifnull(source, 'unknown') AS source FROM documents WHERE trim(text, ' ') <> ''",
+    "SELECT 'upload_' || sha256(ifnull(text, '')) AS id, ifnull(text, '') AS content, min(ifnull(source, 'unknown')) AS source FROM documents GROUP BY ALL",
 )
 register(
     "corpus_status",
@@ -1204,33 +1215,50 @@ register(
 )
 
 
-def _answer_sql() -> str:
+def _records(L: Layers) -> DataFrame:
+    return written(L.flat.drop(*gold.WINDOWED), "flat")
+
+
+def _answer_sql(scope: str = "") -> str:
+    records = f"(SELECT * FROM v_rows WHERE {scope})" if scope else "v_rows"
+    rows = thousands(f"(SELECT count(*) FROM {records})")
+    span = f"'the requested time period (' || {rows} || ' order rows)'" if scope else f"'all ' || {rows} || ' available order rows'"
+    bulk = thousands(f"(SELECT count(*) FROM {records} WHERE quantity > 5 AND profit <= 0)")
+    late = thousands(f"(SELECT count(*) FROM {records} WHERE is_late_delivery = 1)")
     line = lambda *parts: " || ".join(parts)
     reports = [
-        ("Full-dataset product-sales calculation", "Product-sales ranking:", RANK_PRODUCT,
+        ("Full-dataset product-sales calculation", f"'Exact product-sales ranking calculated from ' || {span} || ':'", RANK_PRODUCT,
          line("rank", "'. Product ID '", "product_id", "': total sales '", dollars("total_sales"), "'; total profit '", dollars("total_profit"), "'; '", thousands("orders"), "' orders.'")),
-        ("Full-dataset department shipping-cost calculation", "Department shipping-cost ranking:", RANK_DEPARTMENT.format(cost="cost"),
+        ("Full-dataset department shipping-cost calculation", f"'Exact department shipping-cost ranking calculated from ' || {span} || ':'", RANK_DEPARTMENT.format(cost="cost"),
          line("rank", "'. '", "department", "': average shipping cost '", dollars("average_shipping_cost"), "' across '", thousands("orders"), "' orders.'")),
-        ("Full-dataset sales and profit comparison", "Sales and profit comparison:", f"SELECT *, year * 10 + quarter AS rank FROM ({BY_QUARTER})",
+        ("Full-dataset sales and profit comparison", f"'Exact sales and profit comparison calculated from ' || {span} || ':'", f"SELECT *, year * 10 + quarter AS rank FROM ({BY_QUARTER})",
          line("'Year '", "year", "', Q'", "quarter", "': total sales '", dollars("total_sales"), "'; total profit '", dollars("total_profit"), "'; '", thousands("orders"), "' orders.'")),
-        ("Full-dataset unprofitable bulk-order calculation", "The lowest-profit bulk orders:", BULK,
+        ("Full-dataset unprofitable bulk-order calculation", f"'Exact bulk-order profitability result from ' || {span} || ': ' || {bulk} || ' bulk orders are not profitable.' || chr(10) || 'The following are the 10 lowest-profit orders:'", BULK,
          line("'Order '", "order_id", "': product ID '", "product_id", "'; quantity '", "quantity", "'; sales '", dollars("sales"), "'; profit '", dollars("profit"), "'; profit margin '", fixed("(profit_margin * 100)", 2), "'%.'")),
-        ("Full-dataset late-order calculation", "Late-order overview:", LATE_PAIRS,
+        ("Full-dataset late-order calculation", f"'Exact late-order overview calculated from ' || {span} || ': ' || {late} || ' late orders.'", LATE_PAIRS,
          line("market", "' / '", "department", "': '", thousands("late_orders"), "' late orders; average lead time '", fixed("average_lead_time", 2), "' days.'")),
-        ("Full-dataset shipping-mode lead-time calculation", "Shipping-mode lead-time comparison:", MODE_LEAD,
+        ("Full-dataset shipping-mode lead-time calculation", f"'Exact shipping-mode lead-time comparison calculated from ' || {span} || ':'", MODE_LEAD,
          line("shipping_mode", "': average lead time '", fixed("average_lead_time", 2), "' days across '", thousands("orders"), "' orders.'")),
-        ("Full-dataset lead-time calculation", "Longest-lead-time orders:", LONGEST,
+        ("Full-dataset lead-time calculation", f"'Exact longest-lead-time orders from ' || {span} || ':'", LONGEST,
          line("'Order '", "order_id", "': lead time '", "lead_time", "' days; product ID '", "product_id", "'; shipping mode '", "shipping_mode", "'.'")),
-        ("Full-dataset quantity calculation", "Largest-quantity orders:", LARGEST,
+        ("Full-dataset quantity calculation", f"'Exact largest-quantity orders from ' || {span} || ':'", LARGEST,
          line("'Order '", "order_id", "': quantity '", "quantity", "'; sales '", dollars("sales"), "'; product ID '", "product_id", "'.'")),
     ]
     return " UNION ALL ".join(
-        f"SELECT '{heading}' || chr(10) || string_agg({text}, chr(10) ORDER BY rank) AS content, '{source}' AS source, 1.0::DOUBLE AS similarity FROM ({body})"
+        f"SELECT {heading} || chr(10) || string_agg({text}, chr(10) ORDER BY rank) AS content, '{source}' AS source, 1.0::DOUBLE AS similarity FROM ({body.replace('FROM v_rows', f'FROM {records}')})"
         for source, heading, body, text in reports
     )
 
 
-register("exact_answer_docs", lambda L: answers.answer_documents(written(L.flat.drop(*gold.WINDOWED), "flat")), _answer_sql())
+register("exact_answer_docs", lambda L: answers.answer_documents(_records(L)), _answer_sql())
+
+
+def _answers_of_a_quarter(L: Layers) -> DataFrame:
+    records = _records(L)
+    return answers.answer_documents(answers.in_scope(records, 1997, 2), records)
+
+
+register("exact_answer_docs_scoped", _answers_of_a_quarter, _answer_sql("year(order_date) = 1997 AND quarter(order_date) = 2"))
 
 # --- 2.12 streams ---------------------------------------------------------------------------------------------------
 

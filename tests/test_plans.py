@@ -216,6 +216,11 @@ def test_exact_answers_are_texts_in_rank_order(spark):
     ranking = documents["Full-dataset product-sales calculation"].split("\n")
     assert len(ranking) == 6 and ranking[1].startswith("1. Product ID 4: total sales $")
     assert documents["Full-dataset quantity calculation"].split("\n")[1] == "Order 39: quantity 39; sales $49.00; product ID 4."
+    assert ranking[0] == "Exact product-sales ranking calculated from all 40 available order rows:"
+    bulk = documents["Full-dataset unprofitable bulk-order calculation"].split("\n")
+    assert bulk[0].endswith(": 34 bulk orders are not profitable.") and len(bulk) == 12
+    part = {r.source: r.content for r in answers.answer_documents(flat.filter("order_id < 4"), flat).collect()}
+    assert part["Full-dataset quantity calculation"].startswith("Exact largest-quantity orders from the requested time period (4 order rows):")
     wanted = spark.createDataFrame([(3,), (3,), (99,)], "order_id bigint")
     assert [r.order_id for r in answers.order_lookup(flat, wanted).collect()] == [3]
 
@@ -319,3 +324,10 @@ def test_models_fit_and_predict(spark, rows):
     lags = demand.monthly_lags(flat, ["product_id"])
     predicted = models.predict_demand(models.fit_demand(lags, trees=5, depth=3), lags)
     assert predicted.count() == lags.dropna(subset=["lag_3"]).count() and models.demand_rmse(predicted) >= 0
+
+
+def test_equal_documents_are_stored_once_and_empty_ones_kept(spark):
+    rows = [("a", "web"), ("a", "mail"), ("", None), (None, "web"), (" ", "web")]
+    stored = retrieval.documents_to_vectors(spark.createDataFrame(rows, "content string, source string")).collect()
+    assert sorted((r.content, r.source) for r in stored) == [("", "unknown"), (" ", "web"), ("a", "mail")]
+    assert len({r.id for r in stored}) == 3
