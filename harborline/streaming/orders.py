@@ -95,10 +95,13 @@ def without_replays(orders: DataFrame, late_by: str = "10 minutes") -> DataFrame
     return orders.withWatermark("ts", late_by).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drain_to_files(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append stream over all available input into Parquet and return what was written."""
+def drain_to_files(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run an append stream over all available input into Parquet and return what was written.
+
+    A job that is started again with the same ``path`` goes on where it stopped; without one, it is a new job.
+    """
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -111,16 +114,18 @@ def drain_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_latest(stream: DataFrame, name: str) -> DataFrame:
-    """Run an aggregating stream over all available input; every batch replaces the written result."""
+def drain_latest(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run an aggregating stream over all available input and return the last result.
+
+    Every batch writes the whole result into its own folder, so a reader never sees half of one. A job that is started
+    again with the same ``path`` goes on where it stopped.
+    """
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
-    written = []
+    path = path or fresh_path(spark, name)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch={batch_id:09d}"
-        batch.write.mode("overwrite").parquet(target)
-        written.append(target)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(replace)
@@ -130,17 +135,25 @@ def drain_latest(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
+    results = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return results.filter(F.col("batch") == results.select(F.max("batch")).scalar()).drop("batch")
 
 
-def refresh_marts(stream: DataFrame, marts: dict[str, Callable[[DataFrame], DataFrame]], name: str, once: bool = False):
+def refresh_marts(
+    stream: DataFrame,
+    marts: dict[str, Callable[[DataFrame], DataFrame]],
+    name: str,
+    once: bool = False,
+    path: str | None = None,
+):
     """Append each micro-batch to the ledger, then rebuild every mart from the whole ledger.
 
-    A batch writes its own ledger folder, so a repeated batch replaces itself instead of counting twice.
+    A batch writes its own ledger folder, so a repeated batch replaces itself instead of counting twice. A job that is
+    started again with the same ``path`` goes on where it stopped.
     Returns the running query, the ledger path and the mart paths.
     """
     spark = stream.sparkSession
-    root = fresh_path(spark, name)
+    root = path or fresh_path(spark, name)
     ledger = f"{root}/ledger"
 
     def apply(batch: DataFrame, batch_id: int) -> None:

@@ -1368,12 +1368,24 @@ register(
 )
 register(
     "stream_tumbling_status",
-    lambda L: live.drain_latest(live.tumbling_status(order_stream(L)), "hours"),
-    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, shipment_status, count(*) AS orders FROM v_events GROUP BY ALL""",
+    lambda L: live.drain_to_files(live.tumbling_status(order_stream(L)), "hours"),
+    # windows that the watermark, ten minutes behind the newest event, has closed
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, shipment_status, count(*) AS orders FROM v_events
+      WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v_events) - INTERVAL 10 MINUTE GROUP BY ALL""",
 )
+
+
+def _replayed(L: Layers) -> DataFrame:
+    """Every event arrives twice."""
+    path, events = fresh_path(L.spark, "replayed"), L.table("events")
+    for _ in range(2):
+        events.write.mode("append").parquet(path)
+    return order_events(live.read_events(L.spark, path))
+
+
 register(
     "stream_dedup_orders",
-    lambda L: tally(live.drain_to_files(live.without_replays(order_stream(L)), "unique"), "shipment_status"),
+    lambda L: tally(live.drain_to_files(live.without_replays(_replayed(L)), "unique"), "shipment_status"),
     """SELECT shipment_status, count(DISTINCT event_id) AS "rows" FROM v_events GROUP BY ALL""",
 )
 register(

@@ -56,6 +56,22 @@ def test_running_counts_equal_batch_counts(spark, folder):
     assert rows(live.worst_modes(rates)) == rows(live.worst_modes(live.mode_late_rate(batch(spark, folder))))
 
 
+def test_restarted_jobs_go_on_where_they_stopped(spark, folder, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = rows(live.drain_to_files(live.score_orders(stream(spark, folder)), "ledger", path))
+    again = rows(live.drain_to_files(live.score_orders(stream(spark, folder)), "ledger", path))
+    assert len(first) == 1000 and again == first
+    path = str(tmp_path / "status")
+    first = rows(live.drain_latest(live.status_counts(stream(spark, folder)), "status", path))
+    again = rows(live.drain_latest(live.status_counts(stream(spark, folder)), "status", path))
+    assert again == first == rows(live.status_counts(batch(spark, folder)))
+    marts, root = {"summary": live.live_summary}, str(tmp_path / "marts")
+    for _ in range(2):
+        query, ledger, paths = live.refresh_marts(live.score_orders(stream(spark, folder)), marts, "marts", True, root)
+        query.awaitTermination()
+        assert spark.read.parquet(ledger).count() == spark.read.parquet(paths["summary"]).first().total == 1000
+
+
 def test_unknown_states_count_as_in_transit(spark):
     states = spark.createDataFrame([("Lost",), (None,), ("Delayed",)], "shipment_status string")
     assert {tuple(r) for r in live.status_counts(states).collect()} == {("In Transit", 2), ("Delayed", 1)}
