@@ -91,6 +91,18 @@ def test_recall_at_the_threshold(spark):
     assert out.agg(F.sum("n_links")).first()[0] >= 0.97 * 800
 
 
+def test_near_vectors_of_several_lengths(spark):
+    """Every length is compared, whether it learns a rotation, has too few vectors or is beyond the fitted lengths."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n, groups in ((64, 400), (32, 350), (100, 20), *((200 + i, 2) for i in range(vector_dedup.FITTED)), (1, 1)):
+        for _ in range(groups):
+            a = rng.standard_normal(n)
+            rows += [(len(rows) + j, (a * scale).tolist(), n % 2) for j, scale in enumerate((1, 1, 2))]
+    out = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all((r.n_links, r.component_id, r.kept) == (2, r.vec_id // 3 * 3, r.vec_id % 3 == 0) for r in out) and len(out) == len(rows)
+
+
 def test_near_vectors_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_dedup.near_vectors(empty).count() == 0
