@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 from harborline.llm import language, line_dedup, mixing, ngram_join, packing
 from harborline.session import written
 
-# A document without a letter, or with less than this share of its letters in one language, is rejected.
+# A document without a letter, or with less than this share of its letters in one language that the model knows, is rejected.
 MIN_LANGUAGE_SHARE = 0.5
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: reject documents without a main language; a missing ``lang`` is filled in.
 
-    The model learns from the labelled documents outside the held-out quarter (CRC-32 of the id modulo 4 is 2).
+    The model learns from the labelled documents outside the held-out quarter (CRC-32 of the id modulo 4 is 2). If documents
+    have letters but none of those has a label, no language can be told, which is an error.
     """
     taught = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("doc_id").isNotNull()).select("text", "lang")
-    found = language.identify(docs, language.train(taught))
+    model = language.train(taught)
+    if not model.langs and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no labelled document outside the held-out quarter: no language can be told")
+    found = language.identify(docs, model)
     found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

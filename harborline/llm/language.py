@@ -225,18 +225,21 @@ def label_group(model: LanguageModel, group: list[str], penalty: float) -> list[
     found = find_words(group)
     if not len(found.first) or not model.langs:
         return out
-    path = best_paths(model.word_scores(found), found.doc, penalty)
+    none = len(model.langs)  # of words without a candidate language
+    path = np.where(model.uses[found.script].any(axis=1), best_paths(model.word_scores(found), found.doc, penalty), none)
     sizes = np.diff(np.concatenate([found.first, [len(found.feature)]]))
-    letters = np.zeros((len(group), len(model.langs)), np.int64)
+    letters = np.zeros((len(group), none + 1), np.int64)
     np.add.at(letters, (found.doc, path), sizes)
     opens = np.flatnonzero(np.concatenate([[True], (found.doc[1:] != found.doc[:-1]) | (path[1:] != path[:-1])]))
     closes = np.concatenate([opens[1:], [len(path)]]) - 1
     for a, b in zip(opens.tolist(), closes.tolist()):
+        if path[a] == none:
+            continue
         base = found.offsets[found.doc[a]]
         out[found.doc[a]]["spans"].append({"start": int(found.start[a] - base), "end": int(found.end[b] - base), "lang": model.langs[path[a]]})
     sums = letters.sum(axis=1)
-    for i in np.flatnonzero(sums).tolist():
-        top = int(letters[i].argmax())
+    for i in np.flatnonzero(letters[:, :none].any(axis=1)).tolist():
+        top = int(letters[i, :none].argmax())
         out[i]["lang"], out[i]["score"] = model.langs[top], float(letters[i, top] / sums[i])
     return out
 
@@ -249,11 +252,12 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, text_
 
     The script of a word leaves only languages that use it; the word's score in each is the log likelihood of its letter
     trigrams; the best path over all words of the text pays ``penalty`` nats for a change of language. The main language
-    is the one with most letters on the path (ties: the first by name), ``score`` its share of the letters.
+    is the one with most letters on the path (ties: the first by name), ``score`` its share of all letters of the text. Words of
+    a script that no known language uses belong to no language and no span, but their letters count in that share.
 
     Returns the input's columns, then ``lang_pred``, ``score`` and ``spans`` (start, end and lang in code points of the text).
-    Null and empty texts and texts without a letter are ``und`` with score 0 and no spans, as is everything if the model
-    knows no language. Long texts are handled whole. Repeated rows are each returned; an empty table gives an empty table.
+    Null and empty texts, texts without a letter and texts all in scripts that no known language uses are ``und`` with score 0
+    and no spans, as is everything if the model knows no language. Long texts are handled whole. Repeated rows are each returned; an empty table gives an empty table.
     """
     small_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers

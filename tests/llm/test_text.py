@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from harborline.llm import language, line_dedup, ngram_join, passage_dedup, secrets, suffixes
 
 EDGE = [(1, None), (2, ""), (3, " "), (4, "\n\n"), (5, "x"), (6, "A line that is here twice\nshort\nA line that is here twice"), (7, "a LINE that is here twice \nshort\nand more"), (8, "é" * 9 + "\n" + "É" * 12), (9, "é" * 9 + "\n" + "é" * 12), (10, "é" * 12), (None, "a line that is here twice"), (None, None)]
@@ -212,6 +213,28 @@ def test_language_spans_and_edges(spark, documents):
     assert {r.lang_pred for r in language.identify(documents(rows), nothing).collect()} == {"und"}
 
 
+def test_scripts_without_a_language_count_for_none(spark, documents):
+    english, german = "the quick brown fox jumps over the lazy dog ", "der schnelle braune fuchs springt über den hund "
+    model = language.train(documents([(1, english * 3, "en"), (2, german * 3, "de")]))
+    rows = [(1, "Добрый день, как дела"), (2, "η γρήγορη αλεπού"), (3, "你好世界"), (4, english + "день " * 3 + english), (5, "the день" * 5), (6, english)]
+    out = {r.doc_id: r for r in language.identify(documents(rows), model).collect()}
+    assert [(out[i].lang_pred, out[i].score, out[i].spans) for i in (1, 2, 3)] == [("und", 0.0, [])] * 3
+    assert out[4].lang_pred == "en" and out[4].score == 70 / 82 and [s.lang for s in out[4].spans] == ["en", "en"]
+    assert out[4].spans[0].end == len(english) - 1 and out[4].spans[1].start == len(english) + 15
+    assert out[5].score < 0.5 and out[6].score == 1.0
+
+
+def test_pipeline_language_stage_rejects_foreign_scripts_and_wants_labels(spark, documents):
+    english = "the quick brown fox jumps over the lazy dog "
+    rows = [(i, english * 2, "en" if i < 20 else None) for i in range(40)] + [(50, "Добрый день, как дела", None), (51, "12", None)]
+    kept = corpus_pipeline.keep_identified(spark, documents(rows), "").collect()
+    assert sorted((r.doc_id, r.lang) for r in kept) == [(i, "en") for i in range(40)]
+    with pytest.raises(ValueError, match="no labelled document"):
+        corpus_pipeline.keep_identified(spark, documents([(1, english), (2, "12")]), "")
+    for none in ([], [(1, "12"), (2, None)]):
+        assert corpus_pipeline.keep_identified(spark, documents(none), "").count() == 0
+
+
 def test_held_out_accuracy(spark):
     from harborline.llm import queries
 
