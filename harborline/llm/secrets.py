@@ -31,7 +31,11 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+MIN_RANDOM = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+SEPARATORS = "+/_-"
+# Ways to split a run that mixes the symbols of two alphabets: its pieces in base64url, in base64 and without separators.
+SPLITS = [re.compile(r"[^+/]+"), re.compile(r"[^_-]+"), re.compile(r"[^+/_-]+")]
 LENGTHS = [20, 24, 32, 48, 64, 128]
 BINS = 400  # of the evidence, 0.05 wide
 
@@ -111,22 +115,44 @@ def symbol_models(docs: DataFrame, text_col: str) -> dict[str, tuple[np.ndarray,
     return models
 
 
+def outside(start: int, end: int, text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a run outside the base spans (in order of their starts), without the separators at a cut."""
+    low, cut = start, False
+    for first, _, last in [*((s, k, e) for s, k, e in taken if s < end and start < e), (end, 0, end)]:
+        a, b = low, min(first, end)
+        while cut and a < b and text[a] in SEPARATORS:
+            a += 1
+        while b < end and a < b and text[b - 1] in SEPARATORS:
+            b -= 1
+        if b - a >= MIN_RANDOM:
+            yield a, b
+        cut = cut or last > low
+        low = max(low, last)
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Strings to test: runs outside the base spans; a run that fits no alphabet gives all its pieces that do."""
+    for m in CANDIDATE.finditer(text):
+        for start, end in outside(m.start(), m.end(), text, taken):
+            if encoding_of(text[start:end]) is not None:
+                yield start, end
+                continue
+            pieces = {(p.start(), p.end()) for split in SPLITS for p in split.finditer(text, start, end)}
+            yield from sorted((a, b) for a, b in pieces if b - a >= MIN_RANDOM)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], models: dict, level: float) -> list[dict]:
     """Strings outside the base spans that could be a secret, each with its evidence, if the battery calls them random."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        word = m[0]
+    for start, end in candidates(text, taken):
+        word = text[start:end]
         if word.isalpha() or not any(c.isalpha() for c in word) or not any(c.isdigit() for c in word):
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken):
-            continue
         encoding = encoding_of(word)
-        if encoding is None:
-            continue
         alphabet = ALPHABETS[encoding]
         values = np.array([alphabet.index(c) for c in word])
         passed = randomness(values, len(alphabet)) >= level
-        out.append({"start": m.start(), "end": m.end(), "encoding": encoding, "random": passed, "evidence": evidence(values, *models[encoding])})
+        out.append({"start": start, "end": end, "encoding": encoding, "random": passed, "evidence": evidence(values, *models[encoding])})
     return out
 
 
@@ -160,7 +186,11 @@ def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.001, id_c
     """Find secrets in all texts: three fixed patterns, and strings that look random.
 
     A candidate is a run of 20 or more characters of the wide alphabets that has a letter and a digit and lies outside the
-    base spans. Its encoding is the narrowest alphabet that has all its symbols. It is reported if the battery (see
+    base spans; a run that touches base spans is cut there, and the rest, less the separators (+ / - _) at the cut, is a candidate
+    if it still has 20 characters. Its encoding is the narrowest alphabet that has all its symbols. A run that fits no
+    alphabet, since it has + or / as well as - or _, is split at + and /, at - and _, and at all four, and every piece of 20 or
+    more characters is a candidate; of accepted pieces that overlap, those of most evidence are reported. Other runs are
+    tested whole. A candidate is reported if the battery (see
     ``randomness``) does not reject chance at ``level``, and if ordinary text is rejected with a false-discovery rate of
     ``rate`` inside its encoding and length class; what ordinary text is, comes from the bytes of all texts.
 
@@ -199,7 +229,10 @@ def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.001, id_c
             fits = fits | ((span["encoding"] == encoding) & (class_of(span) == class_) & (bin_of(span) >= bin_))
         return span["random"] & fits
 
-    more = F.transform(F.filter("more", wanted), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), s["end"].alias("end")))
+    # Pieces of one run may overlap: the best first, each unless it meets a better one that stays.
+    best = F.array_sort(F.transform(F.filter("more", wanted), lambda s: F.struct((-s["evidence"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"))))
+    apart = F.aggregate(best, F.slice(best, 1, 0), lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(s))))
+    more = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), s["end"].alias("end")))
     spans = F.array_sort(F.concat("base", more))
     names = F.array(*(F.lit(kind) for kind in KINDS))
     named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.get(names, s["kind"]).alias("kind"), s["end"].alias("end")))

@@ -172,6 +172,36 @@ def test_secret_patterns_and_random_strings(documents):
     assert secrets.scan_secrets(documents([])).count() == 0
 
 
+def test_secrets_in_runs_of_several_alphabets_and_beside_base_spans(documents):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n, more="": "".join(rng.choice(letters + more) for _ in range(n))
+    prose = "plain words of ordinary prose follow one another without an end " * 40
+    plain, url, other, key = token(40), token(30) + "-" + token(30), token(30) + "/" + token(30), token(40)
+    access, hexes = "AKIA" + "A1" * 8, "0123456789abcdef" * 2
+    texts = [
+        (f"https://example.com/reset-password/{plain} ", plain),
+        (f"https://example.com/reset-password/{url} ", url),
+        (f"id-{other} ", other),
+        (f"{access}/{key} ", key),
+        (f"{hexes}-{key}_{hexes} ", key),
+        ("one/two-three/four-five/six-seven/eight-9 ", None),
+        (f"{access}/{key[:19]} ", None),
+    ]
+    rows = [(i, prose + text + prose) for i, (text, _) in enumerate(texts)]
+    out = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.scan_secrets(documents(rows)).collect()}
+    for (i, row), (_, secret) in zip(rows, texts):
+        assert [row[a:b] for a, b in out[i]] == ([secret] if secret else [])
+
+
+def test_candidates_leave_out_nothing_but_base_spans():
+    text = "a1" * 12 + "/" + "b2" * 12
+    assert list(secrets.candidates(text, [])) == [(0, 49)]
+    assert list(secrets.candidates(text, [(24, 0, 25)])) == [(0, 24), (25, 49)]
+    assert list(secrets.candidates(text, [(0, 1, 24), (2, 2, 10)])) == [(25, 49)]
+    assert list(secrets.candidates(text, [(0, 1, 49)])) == list(secrets.candidates("a/b-" * 9, [])) == []
+
+
 def test_randomness_battery_tells_noise_from_order():
     rng = np.random.default_rng(8)
     passed = [secrets.randomness(rng.integers(0, 16, 40), 16) >= 0.001 for _ in range(300)]
