@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import language, line_dedup, mixing, ngram_join, packing, passage_dedup, secrets, sql, topk, url_filter, vector_dedup
+from harborline.llm import language, line_dedup, mixing, ngram_join, packing, passage_dedup, secrets, sql, token_alignment, topk, url_filter, vector_dedup, whitening
+from harborline.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,8 @@ RULES = [
 ]
 DEFAULT_VERDICT = "allow"
 
+TOKENIZERS = "/opt/tokenizers"  # folder of the vocabulary files
+
 MIX = {"temperature": 0.5, "seed": 17}
 PACK = {"buckets": 8, "max_tokens": 2048, "batch_tokens": 65536, "seed": 23}
 
@@ -90,6 +93,23 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    files = token_alignment.Tokenizers.read(tokenizers)
+    found = token_alignment.align(table(spark, folder, "documents").select("doc_id", "text"), files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    n_groups = F.when(F.col("groups") == "", 0).otherwise(F.char_length("groups") - F.char_length(F.replace("groups", F.lit(";"), F.lit(""))) + 1)
+    found = written(found.select("doc_id", "n_a", "n_b", n_groups.cast("long").alias("n_groups"), digest, "links"), "aligned")
+    return token_alignment.score(found, files).drop("links")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", whitening.on_grid(F.col("embedding")).alias("vec"))
+    out = whitening.whiten(vectors, components=8)
+    rows = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    component = (F.col("at") + 1).cast("int").alias("component")
+    return rows.select("vec_id", component, "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -102,6 +122,8 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_topk": op9_topk,
         "op10_language_id": op10_language_id,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_whitening": op13_whitening,
     }
 
 
