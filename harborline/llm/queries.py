@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import language, line_dedup, mixing, ngram_join, packing, passage_dedup, secrets, sql, token_alignment, topk, url_filter, vector_dedup, whitening
+from harborline.llm import language, line_dedup, mixing, ngram_join, packing, passage_dedup, secrets, sql, substring_dedup, token_alignment, topk, url_filter, vector_dedup, whitening
 from harborline.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup.remove_passages(table(spark, folder, "documents").select("doc_id", "text"), size=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     files = token_alignment.Tokenizers.read(tokenizers)
     found = token_alignment.align(table(spark, folder, "documents").select("doc_id", "text"), files)
@@ -122,6 +127,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_topk": op9_topk,
         "op10_language_id": op10_language_id,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_token_alignment": op12_token_alignment,
         "op13_whitening": op13_whitening,
     }
@@ -137,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": sql.NEAR,
         "op8_mixing": sql.mixed(MIX["temperature"], MIX["seed"], mixing.PIECE),
         "op9_topk": sql.TOP,
+        "op11_substring_dedup": sql.PASSAGES,
     }

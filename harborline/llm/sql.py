@@ -147,3 +147,17 @@ kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
   FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM bytes LEFT JOIN kept USING (doc_id)"""
+
+
+PASSAGES = f"""
+WITH lists AS (SELECT doc_id, {words("text")} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM lists)),
+owners AS (SELECT s, min(doc_id) AS owner FROM windows GROUP BY s),
+starts AS (SELECT doc_id, i FROM windows JOIN owners USING (s) WHERE doc_id > owner),
+places AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM lists),
+judged AS (SELECT p.doc_id, p.i, word, coalesce(max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) > p.i - 50, false) AS lost
+  FROM places p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (lost) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id"""
