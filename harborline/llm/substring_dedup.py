@@ -15,7 +15,7 @@ from harborline.llm.common import as_row, field, shuffle_partitions, unpacked, w
 from harborline.llm.shingles import IS_SPACE, mixed, powers
 from harborline.session import fresh_path, written
 
-GROUP_BYTES = 1 << 21  # text of one group of documents
+GROUP_BYTES = 1 << 20  # text of one group of documents
 PROBE_BYTES = 1 << 26  # text whose probes meet in one task
 STORED_BYTES = 1 << 27  # text of one bucket of the stored groups
 RUNS = "array<struct<start: bigint, end: bigint>>"
@@ -304,6 +304,6 @@ def remove_passages(docs: DataFrame, size: int = 50, id_col: str = "doc_id", tex
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("removed", ArrayType(span)), StructField("kept", StringType())]
     rows = stored.groupBy("gid").cogroup(known.groupBy("gid"))
     out = rows.applyInArrow(_cut(size, id_col, text_col), StructType([stored.schema["row"], *added]))
-    out = written(out.unionByName(alone), "passages-removed")
-    spark.sql(f"DROP TABLE {name}")
+    out = out.unionByName(alone)
+    spark.sql(f"DROP TABLE {name}")  # out of the catalog only: the plan above goes on reading its files
     return unpacked(out, n_words=F.col("n_words"), n_removed=F.col("n_removed"), removed=F.col("removed"), kept=F.col("kept"))
