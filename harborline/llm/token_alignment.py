@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from harborline.llm.common import as_row, field, unpacked
 from harborline.llm.shingles import groups
 
-MEMO = 1 << 17  # window alignments a task remembers
+MEMO = 1 << 16  # window alignments of each of the two generations that a task remembers
 # Fixed value: how a byte-level BPE cuts a text into the parts that it encodes one by one.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARK = "▁"  # the space mark of the second tokenizer's pieces
@@ -95,13 +95,13 @@ class Tokenizers:
         ranks = {self.bytes_a[i]: i for i in self.entries["model"]["vocab"].values() if i not in special}
         return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def ids_a(self, texts: list[str]) -> list[list[int]]:
+    def ids_a(self, texts: list[str]) -> list[np.ndarray]:
         if self.by_rank:
-            return [self.ranked.encode_ordinary(text) for text in texts]
-        return [found.ids for found in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.asarray(self.ranked.encode_to_numpy(text), np.int64) for text in texts]
+        return [np.array(found.ids, np.int64) for found in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids_b(self, texts: list[str]) -> list[list[int]]:
-        return self.b.encode(texts, num_threads=1)
+    def ids_b(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
 
     @cached_property
     def bytes_a(self) -> list[bytes]:
@@ -142,7 +142,8 @@ class Aligner:
     """Tokens of both kinds for whole texts, cut into groups at shared ends."""
 
     def __init__(self, tokenizers: Tokenizers, memo: int = MEMO):
-        self.tok, self.limit, self.known = tokenizers, memo, {}
+        self.tok, self.limit = tokenizers, memo
+        self.known, self.before = {}, {}  # once the first is full it becomes the second, from which what is still in use comes back
         self.size_a, self.size_b = (np.array([len(t) for t in table], np.int64) for table in (tokenizers.bytes_a, tokenizers.bytes_b))
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in table], bool) for table in (tokenizers.bytes_a, tokenizers.bytes_b))
         self.lengths = [*self.size_a.tolist(), *self.size_b.tolist()]  # of an id of A, or of B after all of A
@@ -154,7 +155,7 @@ class Aligner:
         for text in texts:
             if text:
                 text, a, b = next(found)
-                yield self.align(text, np.array(a, np.int64), np.array(b, np.int64))
+                yield self.align(text, a, b)
             else:
                 yield NO_TOKENS
 
@@ -162,47 +163,55 @@ class Aligner:
         """Number of tokens of both, groups as text, linked pairs with their number of links."""
         data = b" " + text.encode()
         for ids, table in ((a, self.tok.bytes_a), (b, self.tok.bytes_b)):
-            if b"".join([table[i] for i in ids.tolist()]) != data:
+            if b"".join(map(table.__getitem__, ids.tolist())) != data:
                 return NO_TOKENS
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # Anchors: both tokens end at one byte and both next tokens begin with a space (or the text ends).
-        marked_a = end_a[np.append(self.space_a[a[1:]], True)]
-        marked_b = end_b[np.append(self.space_b[b[1:]], True)]
-        anchors = np.intersect1d(marked_a, marked_b, assume_unique=True)
-        stop_a, stop_b = np.searchsorted(end_a, anchors) + 1, np.searchsorted(end_b, anchors) + 1
+        marked_a = np.flatnonzero(np.append(self.space_a[a[1:]], True))
+        marked_b = np.flatnonzero(np.append(self.space_b[b[1:]], True))
+        _, in_a, in_b = np.intersect1d(end_a[marked_a], end_b[marked_b], assume_unique=True, return_indices=True)
+        stop_a, stop_b = marked_a[in_a] + 1, marked_b[in_b] + 1
         # All ids in the order of the windows, A's before B's, so that a window is one slice.
+        long_a, long_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
         ids = np.empty(len(a) + len(b), np.int32)
-        ids[np.arange(len(a)) + np.concatenate([[0], stop_b])[np.searchsorted(anchors, end_a)]] = a
-        ids[np.arange(len(b)) + stop_a[np.searchsorted(anchors, end_b)]] = b + len(self.size_a)
+        ids[np.arange(len(a)) + np.repeat(stop_b - long_b, long_a)] = a
+        ids[np.arange(len(b)) + np.repeat(stop_a, long_b)] = b + len(self.size_a)
         packed, stops = ids.tobytes(), (4 * (stop_a + stop_b)).tolist()
         keys = [packed[i:j] for i, j in zip([0, *stops], stops)]
         windows = list(map(self.known.get, keys))
         if None in windows:
             windows = [one or self.window(key) for one, key in zip(windows, keys)]
-        pairs, times = np.unique(np.fromiter(chain.from_iterable(pairs for _, pairs in windows), np.int64), return_counts=True)
-        return len(a), len(b), ";".join([text for text, _ in windows]), pairs, times
+        groups, pairs = zip(*windows)
+        pairs, times = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+        return len(a), len(b), ";".join(groups), pairs, times
 
-    def window(self, key: bytes) -> tuple[str, list[int]]:
-        """Groups of one window as text, and the pair (A id * 2^32 + B id) that ends each of them; remembered by the ids."""
-        if one := self.known.get(key):
+    def window(self, key: bytes) -> tuple[str, bytes]:
+        """Groups of one window as text, and the pairs (A id * 2^32 + B id) that end them as bytes; remembered by the ids."""
+        if len(self.known) >= self.limit:
+            self.known, self.before = {}, self.known
+        if one := self.known.get(key) or self.before.get(key):
+            self.known[key] = one
             return one
         ids, lengths, names, first_b = memoryview(key).cast("i").tolist(), self.lengths, self.names, len(self.size_a)
-        groups, pairs = [], []
-        at = next(k for k, token in enumerate(ids) if token >= first_b)
-        end_a = end_b = i = 0
-        j = m = at
-        for k in range(at):
-            end_a += lengths[ids[k]]
+        groups, pairs = [], array("q")
+        m = 0
+        while ids[m] < first_b:
+            m += 1
+        a, i, j = ids[:m], 0, m
+        end_a = end_b = 0
+        for k, token in enumerate(a, 1):
+            end_a += lengths[token]
             while end_b < end_a:
                 end_b += lengths[ids[m]]
                 m += 1
             if end_a == end_b:
-                groups.append(",".join([names[t] for t in ids[i : k + 1]]) + "|" + ",".join([names[t] for t in ids[j:m]]))
-                pairs.append((ids[k] << 32) + ids[m - 1] - first_b)
-                i, j = k + 1, m
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        one = self.known[key] = ";".join(groups), pairs
+                if k - i == m - j == 1:
+                    groups.append(names[token] + "|" + names[ids[j]])
+                else:
+                    groups.append(",".join([names[t] for t in a[i:k]]) + "|" + ",".join([names[t] for t in ids[j:m]]))
+                pairs.append((token << 32) + ids[m - 1] - first_b)
+                i, j = k, m
+        one = self.known[key] = ";".join(groups), pairs.tobytes()
         return one
 
 
@@ -220,7 +229,7 @@ def align(docs: DataFrame, tokenizers: Tokenizers, text_col: str = "text") -> Da
     A space and the text are encoded by both, without special tokens (their strings inside a text are plain text). The byte offsets
     where tokens of both end cut the tokens into groups; the last tokens of a group are linked. Whitespace tokens are the
     anchors: shared ends before tokens that begin with a space, found by comparing the offsets of the whole text, cut it into
-    windows, mostly single words, whose alignment is remembered by its ids (up to MEMO windows a task).
+    windows, mostly single words, whose alignment is remembered by its ids (at most twice MEMO windows a task).
 
     Returns the input's columns, then ``n_a``, ``n_b`` (tokens), ``groups`` (``a1,a2|b1;a3|b2,b3``: ids of both by group) and ``links``
     (each linked pair, A id * 2^32 + B id, with its number of links in the text).
