@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.llm import language, line_dedup, mixing, ngram_join, packing, passage_dedup, secrets, sql, substring_dedup, token_alignment, topk, url_filter, vector_dedup, whitening
@@ -32,6 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def ranges(spans: str) -> Column:
+    """The spans that went, as ``start:end`` joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(spans)
+
+
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -39,7 +44,7 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = passage_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), size=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), ranges("removed"))
 
 
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +100,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substring_dedup.remove_passages(table(spark, folder, "documents").select("doc_id", "text"), size=50)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), ranges("removed"))
 
 
 def op12_token_alignment(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:

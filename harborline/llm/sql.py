@@ -142,11 +142,11 @@ hits AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS befor
 marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM hits),
 runs AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS b FROM marked GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS low FROM runs),
-kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(concat(a, ':', b), ',' ORDER BY run) AS removed,
   string_agg(substr(h, 2 * low + 1, 2 * (a - low)), '' ORDER BY run) || substr(any_value(h), 2 * max(b) + 1) AS rest
   FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM bytes LEFT JOIN kept USING (doc_id)"""
+  sha256(unhex(coalesce(rest, h))) AS kept_sha256, coalesce(removed, '') AS removed FROM bytes LEFT JOIN kept USING (doc_id)"""
 
 
 PASSAGES = f"""
@@ -157,7 +157,10 @@ owners AS (SELECT s, min(doc_id) AS owner FROM windows GROUP BY s),
 starts AS (SELECT doc_id, i FROM windows JOIN owners USING (s) WHERE doc_id > owner),
 places AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM lists),
 judged AS (SELECT p.doc_id, p.i, word, coalesce(max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) > p.i - 50, false) AS lost
-  FROM places p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i)
-SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (lost) AS n_removed,
+  FROM places p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i),
+runs AS (SELECT doc_id, min(i) - 1 AS a, max(i) AS b
+  FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM judged WHERE lost) GROUP BY doc_id, run),
+spans AS (SELECT doc_id, string_agg(concat(a, ':', b), ',' ORDER BY a) AS removed FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(any_value(removed), '') AS removed, count(word) AS n_words, count(*) FILTER (lost) AS n_removed,
   sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
-FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id"""
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id LEFT JOIN spans r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""

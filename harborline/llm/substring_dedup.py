@@ -16,7 +16,7 @@ from harborline.llm.shingles import IS_SPACE, mixed, powers
 from harborline.session import fresh_path, written
 
 GROUP_BYTES = 1 << 20  # text of one group of documents
-PROBE_BYTES = 1 << 26  # text whose probes meet in one task
+PROBE_BYTES = 1 << 24  # text whose probes meet in one task
 STORED_BYTES = 1 << 27  # text of one bucket of the stored groups
 RUNS = "array<struct<start: bigint, end: bigint>>"
 PIECE = 1 << 22  # bytes of a text handled at once
