@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,39 +137,6 @@ def drain_latest(stream: DataFrame, name: str, path: str | None = None) -> DataF
     return results.filter(F.col("batch") == results.select(F.max("batch")).scalar()).drop("batch")
 
 
-def refresh_marts(
-    stream: DataFrame,
-    marts: dict[str, Callable[[DataFrame], DataFrame]],
-    name: str,
-    once: bool = False,
-    path: str | None = None,
-):
-    """Append each micro-batch to the ledger, then rebuild every mart from the whole ledger.
-
-    A batch writes its own ledger folder, so a repeated batch replaces itself instead of counting twice. A job that is
-    started again with the same ``path`` goes on where it stopped.
-    Returns the running query, the ledger path and the mart paths.
-    """
-    spark = stream.sparkSession
-    root = path or fresh_path(spark, name)
-    ledger = f"{root}/ledger"
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        whole = batch.sparkSession.read.schema(stream.schema).parquet(ledger)
-        for mart, build in marts.items():
-            build(whole).write.mode("overwrite").parquet(f"{root}/{mart}")
-
-    trigger = {"availableNow": True} if once else {"processingTime": REFRESH}
-    query = (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(**trigger)
-        .start()
-    )
-    return query, ledger, {mart: f"{root}/{mart}" for mart in marts}
-
-
 def last_points(ledger: DataFrame, n: int = POINTS_KEPT) -> DataFrame:
     """The n newest rows of the ledger."""
     return ledger.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)

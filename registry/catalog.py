@@ -13,7 +13,9 @@ from harborline.plans import answers, demand, gold, inventory, kpis, logistics,
 from harborline.session import fresh_path, written
 from harborline.sources import files, tables
 from harborline.sources.bindings import order_events
+from harborline.streaming import marts
 from harborline.streaming import orders as live
+from harborline.streaming import recent
 from registry.layers import AS_OF, Layers, comparable, digits
 from registry.sql import AS_OF as SQL_AS_OF
 from registry.sql import AT_RISK, dollars, fixed, record_field, statement, thousands
@@ -1299,9 +1301,20 @@ register(
     lambda L: tally(ledger(L), "shipping_mode", "shipment_status", "risk_category"),
     """SELECT shipping_mode, shipment_status, risk_category, count(*) AS "rows" FROM v_event_scores GROUP BY ALL""",
 )
+def newest(L: Layers) -> DataFrame:
+    columns = ["ts", "event_id", "shipment_status", "supply_chain_risk"]
+    return recent.newest_points(live.score_orders(order_stream(L)), "shipping_mode", columns)
+
+
+register(
+    "stream_last_n_by_mode",
+    lambda L: recent.newest_per_key(newest(L)).select(F.col("key").alias("shipping_mode"), "position", "event_id", "supply_chain_risk"),
+    """SELECT shipping_mode, row_number() OVER w AS position, event_id, supply_chain_risk FROM v_event_scores
+      WINDOW w AS (PARTITION BY shipping_mode ORDER BY ts DESC, event_id DESC) QUALIFY row_number() OVER w <= 30""",
+)
 register(
     "stream_last_n",
-    lambda L: live.last_points(ledger(L)).select("event_id", "shipment_status", "supply_chain_risk"),
+    lambda L: live.last_points(newest(L)).select("event_id", "shipment_status", "supply_chain_risk"),
     "SELECT event_id, shipment_status, supply_chain_risk FROM v_event_scores ORDER BY ts DESC, event_id DESC LIMIT 30",
 )
 register(
@@ -1354,17 +1367,29 @@ register(
 
 
 def _refreshed(L: Layers) -> DataFrame:
-    marts = {"counts": shipments.live_counts, "summary": live.live_summary}
-    query, _, paths = live.refresh_marts(live.score_orders(order_stream(L)), marts, "marts", once=True)
+    query, store = marts.refresh_marts(live.score_orders(order_stream(L)), marts.order_states(), "marts", once=True)
     query.awaitTermination()
-    return keep.side_by_side(*(L.spark.read.parquet(path) for path in paths.values()))
+    return marts.payloads(store)
 
 
+_with_views(
+    v_days="""SELECT day, value, avg(value) OVER (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS forecast
+      FROM (SELECT ts::DATE AS day, sum(sales::DECIMAL(38,2)) AS value FROM v_event_scores GROUP BY ALL) ORDER BY day DESC LIMIT 10""",
+    v_newest="SELECT * FROM v_event_scores ORDER BY ts DESC, event_id DESC LIMIT 20",
+)
 register(
     "stream_refresh_marts",
     _refreshed,
-    """SELECT v_live.*, on_time_pct, late_pct, returned FROM v_live, (SELECT avg((shipment_status = 'Delivered')::INT) * 100 AS on_time_pct,
-      avg((shipment_status IN ('Delayed', 'At Risk'))::INT) * 100 AS late_pct, count(*) FILTER (shipment_status = 'Returned') AS returned FROM v_events)""",
+    f"""SELECT 'dashboard' AS part, 'orders' AS entry, count(*)::DOUBLE AS value FROM v_events
+      UNION ALL SELECT 'dashboard', 'on_time_pct', round(count(*) FILTER (shipment_status = 'Delivered') * 100.0 / count(*), 6)::DOUBLE FROM v_events
+      UNION ALL SELECT 'dashboard', 'late_pct', round(count(*) FILTER (shipment_status IN ('Delayed', 'At Risk')) * 100.0 / count(*), 6)::DOUBLE FROM v_events
+      UNION ALL SELECT 'dashboard', 'returned', (count(*) FILTER (shipment_status = 'Returned'))::DOUBLE FROM v_events
+      UNION ALL SELECT * FROM (SELECT 'activity', event_id || ' ' || shipment_status, supply_chain_risk FROM v_newest ORDER BY ts DESC, event_id DESC LIMIT 5)
+      UNION ALL SELECT 'inventory', shipment_status, sum(sales::DECIMAL(38,2))::DOUBLE FROM v_events GROUP BY ALL
+      UNION ALL SELECT 'forecasting', 'actual ' || day, round(value::DOUBLE, 2) FROM v_days
+      UNION ALL SELECT 'forecasting', 'forecast ' || day, round(forecast::DOUBLE, 2) FROM v_days
+      UNION ALL SELECT 'shipments', concat_ws(' ', id, carrier, status, progress), risk_score::DOUBLE FROM ({LIVE_ROWS} QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 20)
+      UNION ALL SELECT 'risk', shipping_mode || ' / ' || risk_category, round(sum(supply_chain_risk::DECIMAL(38,2))::DOUBLE / count(*), 4) FROM v_event_scores GROUP BY shipping_mode, risk_category""",
 )
 register(
     "stream_tumbling_status",

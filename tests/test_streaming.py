@@ -3,10 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from harborline.operators.keep import side_by_side
 from harborline.plans import shipments
 from harborline.plans.scoring import keep_failed, score_risk
 from harborline.sources.bindings import order_events
+from harborline.streaming import marts, recent
 from harborline.streaming import orders as live
 
 
@@ -65,11 +65,6 @@ def test_restarted_jobs_go_on_where_they_stopped(spark, folder, tmp_path):
     first = rows(live.drain_latest(live.status_counts(stream(spark, folder)), "status", path))
     again = rows(live.drain_latest(live.status_counts(stream(spark, folder)), "status", path))
     assert again == first == rows(live.status_counts(batch(spark, folder)))
-    marts, root = {"summary": live.live_summary}, str(tmp_path / "marts")
-    for _ in range(2):
-        query, ledger, paths = live.refresh_marts(live.score_orders(stream(spark, folder)), marts, "marts", True, root)
-        query.awaitTermination()
-        assert spark.read.parquet(ledger).count() == spark.read.parquet(paths["summary"]).first().total == 1000
 
 
 def test_unknown_states_count_as_in_transit(spark):
@@ -95,17 +90,57 @@ def test_replayed_files_do_not_count_twice(spark, folder, tmp_path):
     assert unique.count() == 1000
 
 
-def test_marts_follow_the_ledger(spark, folder):
-    marts = {"counts": shipments.live_counts, "summary": live.live_summary}
-    query, ledger, paths = live.refresh_marts(live.score_orders(stream(spark, folder)), marts, "marts", once=True)
-    query.awaitTermination()
-    assert spark.read.parquet(ledger).count() == 1000
-    counts = spark.read.parquet(paths["counts"]).first()
-    assert (counts.total, counts.on_time, counts.delayed, counts.at_risk) == (1000, 600, 200, 200)
-    both = side_by_side(*(spark.read.parquet(path) for path in paths.values())).first()
-    assert (both.total, both.on_time_pct, both.late_pct, both.returned) == (1000, 20.0, 40.0, 200)
-    stats = shipments.with_live(spark.read.parquet(paths["counts"]), spark.read.parquet(paths["counts"])).first()
-    assert tuple(stats) == (2000, 1200, 400, 400)
+def test_marts_follow_the_stream_and_go_on_after_a_restart(spark, folder, tmp_path):
+    orders = keep_failed(score_risk(batch(spark, folder)))
+    for _ in range(2):
+        query, store = marts.refresh_marts(live.score_orders(stream(spark, folder)), marts.order_states(), "marts", True, str(tmp_path))
+        query.awaitTermination()
+        kpis = store.read("kpis").first()
+        assert tuple(kpis) == (1000, 200, 400, 200)
+    assert store.versions()[0] == 3  # one version per file
+    assert rows(store.read("risk")) == rows(marts.order_states()["risk"].of_batch(orders))
+    assert rows(store.read("days")) == rows(marts.order_states()["days"].of_batch(orders))
+    assert sorted(r.event_id for r in store.read("feed").collect()) == list(range(995, 1000))
+    found = {(r.part, r.entry): r.value for r in marts.payloads(store).collect()}
+    assert found["dashboard", "on_time_pct"] == 20.0 and found["dashboard", "late_pct"] == 40.0
+    assert {part for part, _ in found} == {"dashboard", "activity", "inventory", "forecasting", "shipments", "risk"}
+    assert sorted(p.name for p in (tmp_path / "kpis").iterdir()) == ["v=2", "v=3"]  # older states are gone
+    counts = shipments.live_counts(orders).first()
+    stats = shipments.with_live(shipments.live_counts(orders), shipments.live_counts(orders)).first()
+    assert tuple(counts) == (1000, 600, 200, 200) and tuple(stats) == (2000, 1200, 400, 400)
+
+
+def test_a_batch_reads_no_earlier_rows_and_counts_once(spark, folder, tmp_path):
+    orders = keep_failed(score_risk(batch(spark, folder)))
+    store = marts.MartStore(spark, str(tmp_path), marts.order_states())
+    assert store.versions() == [-1]
+    half = orders.where("event_id < 500")
+    store.apply(half, 0)
+    store.apply(half, 0)  # repeated
+    assert store.read("kpis").first().orders == 500
+    new = orders.where("event_id >= 500")
+    files = store.merged("days", new, 0).inputFiles()
+    assert {f for f in files if str(tmp_path) in f} == set(store.read("days").inputFiles())
+    marts.order_states()["days"].merged(store.read("days"))
+    store.merged("days", new, 0).write.parquet(f"{tmp_path}/days/v=1")  # a batch that failed before its version was listed
+    assert store.read("kpis").first().orders == 500
+    store.apply(new, 1)
+    assert store.read("kpis").first().orders == 1000
+    assert rows(store.read("days")) == rows(marts.order_states()["days"].of_batch(orders))
+
+
+def test_newest_points_equal_the_batch_after_a_restart(spark, folder, tmp_path):
+    columns = ["ts", "event_id", "shipment_status"]
+    orders = batch(spark, folder).select(F.col("shipping_mode").alias("key"), *columns)
+    want = rows(recent.newest_per_key(orders, 7))
+    some = str(tmp_path / "events")
+    files = sorted(spark.read.parquet(folder).inputFiles(), key=lambda f: spark.read.parquet(f).first().event_id)
+    for at, part in enumerate((files[:2], files[2:])):  # the second run goes on where the first stopped
+        spark.read.parquet(*part).coalesce(1).write.mode("append").parquet(some)
+        points = recent.newest_points(stream(spark, some), "shipping_mode", columns, 7, path=str(tmp_path / "points"))
+        assert at == 0 or rows(recent.newest_per_key(points, 7)) == want
+    most = points.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert most <= 7 * recent.SLICES
 
 
 def test_demand_events_and_series(spark):
