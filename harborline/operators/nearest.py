@@ -1,23 +1,20 @@
-"""Exact top-k search of many queries in a corpus.
+"""Exact top-k search of many queries in a corpus: words by an inverted index, vectors block by block.
 
-Scores are computed where the corpus rows are: each task scores its rows against a block of queries with one
-matrix product per batch and keeps only the k best rows per query. What is shuffled is k rows per query and
-task, never query-row pairs. Queries travel to the tasks in blocks of at most ``QUERIES_PER_BLOCK``; more
-queries mean more blocks, each one pass over the corpus.
+Neither queries nor corpus rows pass through the driver; what comes out of a task is at most k rows per query and block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES_PER_BLOCK = 2048
-ROWS_PER_PRODUCT = 256
+QUERIES_PER_BLOCK = 4096
+ROWS_PER_BLOCK = 16384
+POSTINGS = 65536  # ids of one posting list at most, about
+QUERIES_PER_PRODUCT = 256
 DIGITS = 9
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -27,96 +24,95 @@ def words(text):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, score, rank) from queries (query_id, vector) and corpus (id, vector); a zero vector scores 0."""
+def _block(column: str, rows: int, per_block: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(max(1, -(-rows // per_block)))).cast("int")
 
-    def prepare(block: pd.DataFrame):
-        matrix = np.stack([np.asarray(v, dtype="float64") for v in block["vector"]])
-        unit = _unit(matrix).T.copy()
-        return lambda rows: _unit(np.stack([np.asarray(v, dtype="float64") for v in rows["vector"]])) @ unit
 
-    as_double = F.col("vector").cast("array<double>").alias("vector")
-    return _search(queries.select("query_id", as_double), corpus.select("id", as_double), k, prepare)
+def postings(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Inverted index of the texts (id, text) for the wanted tokens: token, ids, document frequency, salt.
+
+    The ids of a token come in lists by blocks of documents, so no list outgrows POSTINGS by much. Tokens of more
+    documents than that are salted: their lists are dealt to several keys.
+    """
+    tokens = corpus.select("id", F.explode(words(F.col("text"))).alias("token")).join(wanted, "token", "left_semi")
+    lists = tokens.groupBy("token", _block("id", corpus.count(), POSTINGS).alias("block")).agg(F.collect_list("id").alias("ids"))
+    frequency = lists.groupBy("token").agg(F.sum(F.size("ids")).alias("documents"))
+    lists = lists.join(frequency, "token")
+    return lists.withColumn("salt", F.pmod("block", salts("documents")))
+
+
+def salts(documents: str) -> Column:
+    return F.ceil(F.col(documents) / POSTINGS).cast("int")
 
 
 def keyword_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, score, rank): share of a query's distinct words that a text contains. Whole texts are read."""
-
-    def prepare(block: pd.DataFrame):
-        lists = [text.split(" ") if text else [] for text in block["words"]]
-        sizes = np.array([max(1, len(words_)) for words_ in lists], dtype="float64")
-        owner = np.repeat(np.arange(len(lists)), [len(words_) for words_ in lists])
-        vocabulary = pd.Index(pd.unique(np.array([w for words_ in lists for w in words_], dtype=object)))
-        code = vocabulary.get_indexer([w for words_ in lists for w in words_]) if len(vocabulary) else owner
-        by_word = np.argsort(code, kind="stable")
-        owner, starts = owner[by_word], np.searchsorted(code[by_word], np.arange(len(vocabulary) + 1))
-
-        def overlap(rows: pd.DataFrame) -> np.ndarray:
-            texts = [text.split(" ") if text else [] for text in rows["words"]]
-            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-            found = vocabulary.get_indexer([w for t in texts for w in t]) if len(row) else row
-            row, found = row[found >= 0], found[found >= 0]
-            used, column = np.unique(found, return_inverse=True)
-            in_text = np.zeros((len(texts), len(used)), dtype="float32")
-            in_text[row, column] = 1
-            in_query = np.zeros((len(used), len(lists)), dtype="float32")
-            for at, word in enumerate(used):
-                in_query[at, owner[starts[word] : starts[word + 1]]] = 1
-            return (in_text @ in_query).astype("float64") / sizes
-
-        return overlap
-
-    joined = F.array_join(words(F.col("text")), " ").alias("words")
-    return _search(queries.select("query_id", joined), corpus.select("id", joined), k, prepare)
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
+    """(query_id, id, score, rank): share of a query's distinct words that a text contains. Whole texts are read.
+
+    Query tokens meet the posting lists of the same token and salt. The lists of a query and block come together in one task,
+    where ids are counted; k documents of each block stay. Documents without a word of the query score 0 and count in
+    the order of their ids: the k smallest ids stand for them.
+    """
+    asked = queries.select("query_id", words(F.coalesce("text", F.lit(""))).alias("words"))
+    tokens = asked.select("query_id", F.size("words").alias("size"), F.explode("words").alias("token"))
+    index = postings(corpus, tokens.select("token").distinct())
+    frequency = index.select("token", "documents").distinct()
+    salted = tokens.join(frequency, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), salts("documents") - 1)))
+    met = salted.join(index.select("token", "salt", "block", "ids"), ["token", "salt"]).select("query_id", "size", "block", "ids")
+    met = met.repartition("query_id", "block")  # lists move, not single ids
+    counted = met.select("query_id", "size", "block", F.explode("ids").alias("id")).groupBy("query_id", "block", "id")
+    scored = counted.agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
+    found = best(scored.select("query_id", "id", F.round("score", DIGITS).alias("score")), k)
+
+    first = [row.id for row in corpus.select("id").orderBy("id").limit(k).collect()]
+    rest = asked.select("query_id", F.explode(F.array(*(F.lit(i) for i in first)) if first else F.array().cast(f"array<{dict(corpus.dtypes)['id']}>")).alias("id"))
+    rows = found.select("query_id", "id", "score").unionByName(rest.withColumn("score", F.lit(0.0)))
+    return best(rows.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, ties by id."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, score, rank) from queries (query_id, vector) and corpus (id, vector); a zero vector scores 0.
+
+    Queries and rows are dealt to blocks by hash; every block of queries meets every block of rows in a cogroup, where scores are
+    one matrix product and k rows per query stay. Larger blocks mean fewer copies of both sides.
+    """
+    as_double = F.col("vector").cast("array<double>").alias("vector")
+    asked, rows = queries.count(), corpus.count()
+    of_query, of_row = _block("query_id", asked, QUERIES_PER_BLOCK), _block("id", rows, ROWS_PER_BLOCK)
+    every = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1)))
+    left = corpus.select("id", as_double, of_row.alias("row_block"), every(asked, QUERIES_PER_BLOCK).alias("query_block"))
+    right = queries.select("query_id", as_double, every(rows, ROWS_PER_BLOCK).alias("row_block"), of_query.alias("query_block"))
+    keys = ["row_block", "query_block"]
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["id"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_products(k), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return best(found, k)
+
+
+def _unit(lists: pa.ChunkedArray) -> np.ndarray:
+    matrix = np.stack([np.asarray(values, dtype="float64") for values in lists.to_pylist()])
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _search(queries: DataFrame, corpus: DataFrame, k: int, prepare: Callable) -> DataFrame:
-    blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
-    # query_id is unique, so equal parts by hash; each part is bounded and fetched on its own
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    id_type = corpus.schema["id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    found = [
-        corpus.mapInPandas(
-            _best_rows(queries.filter(part == number).orderBy("query_id").toPandas(), prepare, k),
-            schema=f"query_id {query_type}, id {id_type}, score double",
-        )
-        for number in range(blocks)
-    ]
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    merged = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
-    return merged.filter(F.col("rank") <= k)
-
-
-def _best_rows(block: pd.DataFrame, prepare: Callable, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if block.empty:
-            return
-        score = prepare(block)
-        best_ids = best_scores = None
-        for batch in batches:
-            for start in range(0, len(batch), ROWS_PER_PRODUCT):
-                rows = batch.iloc[start : start + ROWS_PER_PRODUCT].sort_values("id", ignore_index=True)
-                scores = np.round(score(rows), DIGITS).T
-                ids = np.broadcast_to(rows["id"].to_numpy(), scores.shape)
-                if best_ids is not None:
-                    scores, ids = np.hstack([best_scores, scores]), np.hstack([best_ids, ids])
-                by_id = np.argsort(ids, axis=1, kind="stable")
-                scores, ids = np.take_along_axis(scores, by_id, 1), np.take_along_axis(ids, by_id, 1)
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                best_scores, best_ids = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
-        if best_ids is not None:
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(block["query_id"].to_numpy(), best_ids.shape[1]),
-                    "id": best_ids.ravel(),
-                    "score": best_scores.ravel(),
-                }
-            )
-
-    return run
+def _products(k: int):
+    def work(key, rows, queries):
+        parts = []
+        if len(rows) and len(queries):
+            rows = rows.take(pc.sort_indices(rows, [("id", "ascending")]))  # so that equal scores stay in order of ids
+            corpus, asked = _unit(rows.column("vector")), _unit(queries.column("vector"))
+            for start in range(0, len(asked), QUERIES_PER_PRODUCT):
+                scores = np.round(asked[start : start + QUERIES_PER_PRODUCT] @ corpus.T, DIGITS)
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                query = pa.array(np.repeat(np.arange(start, start + len(at)), at.shape[1]))
+                parts.append((queries.column("query_id").take(query), rows.column("id").take(pa.array(at.ravel())), pa.array(np.take_along_axis(scores, at, 1).ravel())))
+        columns = [pa.chunked_array([c for part in column for c in (part.chunks if isinstance(part, pa.ChunkedArray) else [part])]) for column in zip(*parts)]
+        if not columns:
+            columns = [queries.column("query_id").slice(0, 0), rows.column("id").slice(0, 0), pa.array([], pa.float64())]
+        return pa.table(dict(zip(("query_id", "id", "score"), columns)))
+
+    return work

@@ -1139,31 +1139,35 @@ register(
 )
 
 
-def reranked(L: Layers) -> DataFrame:
-    content = L.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
-    candidates = keyword_candidates(L).join(content, "id")
-    return retrieval.rerank(candidates, 5, 0.2)
+def vector_queries(L: Layers) -> DataFrame:
+    """The stored vectors that are asked for: every fiftieth id, against all rows."""
+    asked = L.table("embeddings").where(F.col("vec_id") % 50 == 0)
+    return asked.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def keyword_candidates(L: Layers) -> DataFrame:
-    return nearest.keyword_top_k(
-        text_queries(L), L.table("documents").select(F.col("doc_id").alias("id"), "text"), 5 * retrieval.CANDIDATES_PER_RESULT
-    ).drop("rank")
+def reranked(L: Layers) -> DataFrame:
+    """The documents whose vectors are nearest to each query vector, by the rules for what an answer may use."""
+    corpus = L.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    nearest_rows = nearest.cosine_top_k(vector_queries(L), corpus, 5 * retrieval.CANDIDATES_PER_RESULT).drop("rank")
+    content = L.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    return retrieval.rerank(nearest_rows.join(content, "id"), 5)
 
 
 _with_views(
-    v_candidates=KEYWORD_SQL.replace("<= 5", "<= 15"),
+    v_vectors_asked="SELECT vec_id::VARCHAR AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 50 = 0",
+    v_near="""SELECT query_id, vec_id AS id, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 9) AS score FROM v_vectors_asked, embeddings
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 15""",
     v_reranked=r"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
       SELECT * FROM (SELECT c.query_id, c.id, c.score, d.source, regexp_replace(d.text, '^\s+|\s+$', '', 'g') AS content
-        FROM v_candidates c JOIN documents d ON c.id = d.doc_id)
-      WHERE score >= 0.2 AND content <> ''
+        FROM v_near c JOIN documents d ON c.id = d.doc_id)
+      WHERE score >= 0.65 AND content <> ''
       QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY score DESC, id) = 1)""",
     v_matches="SELECT * FROM v_reranked WHERE rank <= 5",
 )
 register(
     "rerank_filter",
-    lambda L: reranked(L).select("query_id", "id", "score", "source", "content", "rank"),
-    "SELECT query_id, id, score, source, content, rank FROM v_matches",
+    lambda L: digits(reranked(L), 6, "score").select("query_id", "id", "score", "source", "content", "rank"),
+    "SELECT query_id, id, round(score, 6) AS score, source, content, rank FROM v_matches",
 )
 register(
     "source_label",
@@ -1186,9 +1190,9 @@ register(
 )
 register(
     "retrieval_confidence",
-    lambda L: retrieval.confidence(reranked(L), text_queries(L)),
+    lambda L: retrieval.confidence(reranked(L), vector_queries(L)),
     """SELECT a.query_id, ifnull(round(least(1, greatest(0, avg(score)))::DECIMAL(18,9), 2)::DOUBLE, 0) AS confidence
-      FROM v_asked a LEFT JOIN v_matches m USING (query_id) GROUP BY ALL""",
+      FROM v_vectors_asked a LEFT JOIN v_matches m USING (query_id) GROUP BY ALL""",
 )
 _with_views(
     v_sections="""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place,

@@ -144,6 +144,7 @@ def brute_cosine(queries, corpus, k):
 @pytest.mark.parametrize("per_block", [2, 1000])
 def test_cosine_matches_brute_force(spark, monkeypatch, per_block):
     monkeypatch.setattr(nearest, "QUERIES_PER_BLOCK", per_block)
+    monkeypatch.setattr(nearest, "ROWS_PER_BLOCK", 10 * per_block)
     random_ = np.random.default_rng(1)
     corpus = [(i, random_.normal(size=8).tolist()) for i in range(600)]
     corpus += [(1000 + i, corpus[i][1]) for i in range(200)] + [(5000, [0.0] * 8)]
@@ -162,12 +163,12 @@ def test_cosine_matches_brute_force(spark, monkeypatch, per_block):
 
 @pytest.mark.parametrize("per_block", [3, 1000])
 def test_keywords_match_brute_force(spark, monkeypatch, per_block):
-    monkeypatch.setattr(nearest, "QUERIES_PER_BLOCK", per_block)
+    monkeypatch.setattr(nearest, "POSTINGS", 20 * per_block)  # the small one salts the frequent words
     pick = random.Random(2)
     vocabulary = ["the"] * 30 + [f"w{i}" for i in range(60)] + ["Été", "naïve_x", "42"]
     text = lambda n: " ".join(pick.choice(vocabulary) for _ in range(n)) + ", THE!"
-    corpus = [(i, text(pick.randrange(1, 40))) for i in range(700)] + [(900, ""), (901, "???")]
-    queries = [(f"q{i}", text(6)) for i in range(8)] + [("none", "!!"), ("absent", "zebra")]
+    corpus = [(i, text(pick.randrange(1, 40))) for i in range(700)] + [(900, ""), (901, "???"), (902, None)]
+    queries = [(f"q{i}", text(6)) for i in range(8)] + [("none", "!!"), ("absent", "zebra"), ("null", None)]
     got = nearest.keyword_top_k(
         spark.createDataFrame(queries, "query_id string, text string"),
         spark.createDataFrame(corpus, "id bigint, text string").repartition(3),
@@ -175,7 +176,7 @@ def test_keywords_match_brute_force(spark, monkeypatch, per_block):
     )
     import re
 
-    tokens = lambda s: set(re.findall(r"\w+", s.lower()))
+    tokens = lambda s: set(re.findall(r"\w+", (s or "").lower()))
     want = {}
     for qid, q in queries:
         size = len(tokens(q))
@@ -187,6 +188,16 @@ def test_keywords_match_brute_force(spark, monkeypatch, per_block):
     assert found == want
 
 
+def test_search_keeps_queries_off_the_driver(spark):
+    queries = spark.createDataFrame([("a", "one two"), ("b", "two three")], "query_id string, text string")
+    corpus = spark.createDataFrame([(1, "one"), (2, "two three")], "id bigint, text string")
+    plan = nearest.keyword_top_k(queries, corpus, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert nearest.keyword_top_k(queries, corpus.limit(0), 2).count() == 0 == nearest.keyword_top_k(queries.limit(0), corpus, 2).count()
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, vector array<double>")
+    assert nearest.cosine_top_k(vectors.withColumnRenamed("id", "query_id").limit(0), vectors).count() == 0
+
+
 def test_isolation_forest_ranks_outliers_first(spark):
     random_ = np.random.default_rng(4)
     points = [(i, float(a), float(b)) for i, (a, b) in enumerate(random_.normal(size=(2000, 2)))]
