@@ -66,12 +66,6 @@ def latest_chunks(chunks: DataFrame, order: list[Column]) -> DataFrame:
     return keep_first(chunks, ["id"], order, ties=["text"])
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored chunks whose id does not come in again, plus the incoming ones."""
-    kept = stored.join(incoming.select("id"), "id", "left_anti")
-    return kept.unionByName(incoming)
-
-
 def pending(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks that an interrupted load has not written yet."""
     return chunks.join(done.select("id"), "id", "left_anti")
@@ -93,11 +87,6 @@ def corpus_status(corpus: DataFrame, namespace: str = "namespace") -> DataFrame:
     return corpus.groupBy(namespace).agg(F.count(F.lit(1)).alias("documents_count"))
 
 
-def corpus_without(corpus: DataFrame, cleared: str, namespace: str = "namespace") -> DataFrame:
-    """The corpus after one namespace is cleared."""
-    return corpus.filter(~F.col(namespace).eqNullSafe(F.lit(cleared)))
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

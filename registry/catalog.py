@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.functions import bands, cleaning, measures, months
 from harborline.operators import joins, keep, nearest, rolling
 from harborline.plans import answers, demand, gold, inventory, kpis, logistics, models, retrieval, risk, scoring, shipments, silver
 from harborline.session import fresh_path, written
-from harborline.sources import files, tables
+from harborline.sources import files, store, tables
 from harborline.sources.bindings import order_events
 from harborline.streaming import marts
 from harborline.streaming import orders as live
@@ -165,10 +165,23 @@ register(
     lambda L: tables.status(L.history),
     "SELECT count(*) AS row_count, max(order_date)::VARCHAR AS latest_date FROM v_history WHERE order_date IS NOT NULL",
 )
+def _purged(L: Layers, rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows stored by month, without those for which the condition is true, read back from storage."""
+    path = fresh_path(L.spark, "purged")
+    files.write_partitioned(rows, path)
+    store.delete_rows(L.spark, path, condition, ["part_year", "part_month"])
+    return L.spark.read.parquet(path)
+
+
 register(
     "purge_value",
-    lambda L: tally(tables.without_rows(L.sales_ml, F.col("profit") == 0), "market", "class"),
-    """SELECT market, class, count(*) AS "rows" FROM v_joined WHERE profit <> 0 GROUP BY ALL""",
+    lambda L: tally(_purged(L, L.sales_ml, F.col("profit") == 0), "market", "class"),
+    """SELECT market, class, count(*) AS "rows" FROM v_joined WHERE profit IS NULL OR profit <> 0 GROUP BY ALL""",
+)
+register(
+    "purge_usual_value",
+    lambda L: tally(_purged(L, L.delivery, F.col("avg_order_value_30d") == 200), "shipping_mode"),
+    """SELECT shipping_mode, count(*) AS "rows" FROM v_rows WHERE avg_order_value_30d IS NULL OR avg_order_value_30d <> 200 GROUP BY ALL""",
 )
 
 
@@ -1052,7 +1065,21 @@ def _chunks(L: Layers) -> DataFrame:
 
 CHUNKS_SQL = f"""SELECT id, text, shipment_date FROM (SELECT {ID_SQL} AS id, {TEXT_SQL} AS text, order_date, shipment_date FROM v_rows)
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY order_date DESC, shipment_date DESC, text DESC) = 1"""
-register("upsert_chunks", lambda L: _chunks(L).select("id", "text"), f"SELECT id, text FROM ({CHUNKS_SQL})")
+
+
+def _upserted(L: Layers) -> DataFrame:
+    """A first load with drafts of the older chunks, then a second load that replaces them in storage."""
+    path, chunks = fresh_path(L.spark, "chunks"), retrieval.build_chunks(L.flat)
+    older = F.element_at("metadata", "shipment_date") < AS_OF.isoformat()
+    draft = F.when(older, F.concat(F.lit("draft of "), "text")).otherwise(F.col("text"))
+    newest = [F.element_at("metadata", "order_date").desc(), F.element_at("metadata", "shipment_date").desc(), F.col("text").desc()]
+    rows = written(chunks, "chunk-rows")
+    store.upsert(L.spark, path, rows.withColumn("text", draft), newest, ties=["text"])
+    store.upsert(L.spark, path, rows.where(older), newest, ties=["text"])
+    return L.spark.read.parquet(path)
+
+
+register("upsert_chunks", lambda L: _upserted(L).select("id", "text"), f"SELECT id, text FROM ({CHUNKS_SQL})")
 
 
 def _resume(L: Layers) -> DataFrame:
@@ -1072,9 +1099,19 @@ register(
     lambda L: retrieval.corpus_status(L.table("documents"), "lang"),
     "SELECT lang, count(*) AS documents_count FROM documents GROUP BY ALL",
 )
+
+
+def _cleared(L: Layers) -> DataFrame:
+    """The documents stored by namespace, after one namespace was emptied, read back from storage."""
+    path = fresh_path(L.spark, "corpus")
+    L.table("documents").write.partitionBy("lang").parquet(path)
+    store.clear_partition(L.spark, path, "lang", "en")
+    return L.spark.read.parquet(path)
+
+
 register(
     "corpus_clear",
-    lambda L: retrieval.corpus_status(retrieval.corpus_without(L.table("documents"), "en", "lang"), "lang"),
+    lambda L: retrieval.corpus_status(_cleared(L), "lang"),
     "SELECT lang, count(*) AS documents_count FROM documents WHERE lang <> 'en' GROUP BY ALL",
 )
 
