@@ -57,7 +57,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system, whatever system that is; nothing happens if it is not there."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def remove(spark: SparkSession, path: str, encoded: bool = False) -> None:
+    """Delete a folder of the shared file system, whatever system that is; nothing happens if it is not there.
+
+    ``encoded`` paths are written as URIs, like those that Spark gives for the file of a row.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(path) if encoded else path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -47,7 +47,7 @@ def clear_partition(spark: SparkSession, path: str, column: str, value) -> int:
     rows = spark.read.parquet(path).where(F.col(column).eqNullSafe(F.lit(value)))
     folders = [row[0] for row in rows.select(folder_of_row()).distinct().collect()]
     for folder in folders:
-        remove(spark, folder)
+        remove(spark, folder, encoded=True)
     return len(folders)
 
 
@@ -70,7 +70,7 @@ def delete_rows(spark: SparkSession, path: str, condition: Column, partitions: l
     emptied = [row[0] for row in emptied.select("folder").distinct().collect()]
     _replace_partitions(rest, path, partitions)
     for folder in emptied:
-        remove(spark, folder)
+        remove(spark, folder, encoded=True)
     return touched
 
 
