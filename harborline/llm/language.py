@@ -42,14 +42,15 @@ _tables: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
-    """For every code point: is it a letter (or a mark on one), and its script; built once per worker."""
+    """For every code point: can it be in a word (a letter or a mark on one), its script, and is it a letter; built once per worker."""
     if not _tables:
-        letter = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        letter = np.array([kind in "LM" for kind in kinds])
         script = np.zeros(0x110000, np.uint8)
         for number, blocks in enumerate(SCRIPTS.values(), 1):
             for first, last in blocks:
                 script[first : last + 1] = number
-        _tables.extend([letter, script])
+        _tables.extend([letter, script, np.array([kind == "L" for kind in kinds])])
     return _tables
 
 
@@ -85,10 +86,11 @@ class Words:
     end: np.ndarray
     script: np.ndarray
     doc: np.ndarray  # index of the word's text
+    lettered: np.ndarray  # of each text: does it have a letter
 
 
 def find_words(group: list[str]) -> Words:
-    letter, script = tables()
+    letter, script, real = tables()
     codes = np.frombuffer(("\n".join(group) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(text) + 1 for text in group])])
     is_letter = letter[np.minimum(codes, 0x10FFFF)]
@@ -103,7 +105,9 @@ def find_words(group: list[str]) -> Words:
     first = np.flatnonzero(opens)
     start = at[first]
     last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
-    return Words(offsets, feature, first, start, at[last] + 1, script[codes[start]], np.searchsorted(offsets, start, "right") - 1)
+    lettered = np.zeros(len(group), bool)
+    lettered[np.searchsorted(offsets, at[real[codes[at]]], "right") - 1] = True
+    return Words(offsets, feature, first, start, at[last] + 1, script[codes[start]], np.searchsorted(offsets, start, "right") - 1, lettered)
 
 
 @dataclass
@@ -233,12 +237,12 @@ def label_group(model: LanguageModel, group: list[str], penalty: float) -> list[
     opens = np.flatnonzero(np.concatenate([[True], (found.doc[1:] != found.doc[:-1]) | (path[1:] != path[:-1])]))
     closes = np.concatenate([opens[1:], [len(path)]]) - 1
     for a, b in zip(opens.tolist(), closes.tolist()):
-        if path[a] == none:
+        if path[a] == none or not found.lettered[found.doc[a]]:
             continue
         base = found.offsets[found.doc[a]]
         out[found.doc[a]]["spans"].append({"start": int(found.start[a] - base), "end": int(found.end[b] - base), "lang": model.langs[path[a]]})
     sums = letters.sum(axis=1)
-    for i in np.flatnonzero(letters[:, :none].any(axis=1)).tolist():
+    for i in np.flatnonzero(found.lettered).tolist():  # where no known language has a letter, the first with score 0
         top = int(letters[i, :none].argmax())
         out[i]["lang"], out[i]["score"] = model.langs[top], float(letters[i, top] / sums[i])
     return out
@@ -256,8 +260,9 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, text_
     a script that no known language uses belong to no language and no span, but their letters count in that share.
 
     Returns the input's columns, then ``lang_pred``, ``score`` and ``spans`` (start, end and lang in code points of the text).
-    Null and empty texts, texts without a letter and texts all in scripts that no known language uses are ``und`` with score 0
-    and no spans, as is everything if the model knows no language. Long texts are handled whole. Repeated rows are each returned; an empty table gives an empty table.
+    Null and empty texts and texts without a letter (marks alone are none) are ``und`` with score 0 and no spans, as is everything if
+    the model knows no language. A text all in scripts that no known language uses gets the first language by name, with score 0
+    and no spans. Long texts are handled whole. Repeated rows are each returned; an empty table gives an empty table.
     """
     small_text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers

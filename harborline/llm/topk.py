@@ -32,7 +32,9 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if queries.shape[1] * most(queries) * most(rows) < EXACT:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
     exact = queries.astype(object) @ rows.astype(object).T
-    return np.clip(exact, -LIMIT, LIMIT).astype(np.int64)
+    if exact.size and max(exact.max(), -exact.min()) > LIMIT:
+        raise OverflowError("a score is beyond 2^61, the range that is searched")
+    return exact.astype(np.int64)
 
 
 def top_k(
@@ -58,7 +60,7 @@ def top_k(
     Returns ``query_id``, ``rank`` (from 1), the id and ``score``. A row is never compared with a query of its own id. Null
     vectors and null ids take no part; vectors meet only those of equal length. Of rows that share an id, a query uses the
     smallest vector; repeated candidate rows all count. Fewer than k candidates are all returned. Components are long;
-    scores outside +-2 ** 61 are cut there. Empty tables give an empty table.
+    a score outside +-2 ** 61 is an error. Empty tables give an empty table.
     """
     spark = vectors.sparkSession
     usable = F.col("id").isNotNull() & F.col("v").isNotNull()

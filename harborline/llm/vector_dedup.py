@@ -19,25 +19,24 @@ FITTED, FIT_ROWS = 8, 640  # so many lengths learn a rotation, from so many vect
 
 
 def fit_rotation(sample: np.ndarray, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x code bits) whose signs are balanced codes with the least quantisation error.
+    """Origin and projection (dimensions x code bits) whose signs are balanced codes with the least quantisation error.
 
-    Principal components give uncorrelated directions; the rotation is then refined in turns: best codes for the rotation,
+    The origin stays where it is: taking off the mean would widen the angle between near vectors that share a direction, and
+    with it the number of bits in which their codes differ. Principal directions are uncorrelated; the rotation is then refined in turns: best codes for the rotation,
     best rotation (orthogonal Procrustes) for the codes. With fewer dimensions than bits, the directions are repeated
     by a random orthonormal frame.
     """
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, directions = np.linalg.eigh(centred.T @ centred)
+    _, directions = np.linalg.eigh(sample.T @ sample)
     directions = directions[:, ::-1][:, : TABLES * BITS]
     rng = np.random.default_rng(seed)
     size, bits = directions.shape[1], TABLES * BITS
-    projected = centred @ directions
+    projected = sample @ directions
     rotation = np.linalg.qr(rng.standard_normal((bits, bits)))[0][:size]
     for _ in range(rounds):
         codes = np.where(projected @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(projected.T @ codes, full_matrices=False)
         rotation = left @ right
-    return mean, directions @ rotation
+    return np.zeros(sample.shape[1]), directions @ rotation
 
 
 @lru_cache(maxsize=FITTED)
@@ -116,10 +115,12 @@ def near_vectors(
         if rows >= FIT_ROWS:
             sample = fit.where(F.size("v") == n).orderBy(F.xxhash64("id"), "id").select("v").limit(sample_rows).toPandas()["v"]
             data = np.stack(sample.to_numpy()).astype(np.float64)
+            data /= np.abs(data).max(axis=1, keepdims=True)  # keeps the squares of tiny and huge numbers
             fits[n] = fit_rotation(data / np.linalg.norm(data, axis=1, keepdims=True))
     classes = fit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
+    largest = F.array_max(F.transform("raw", lambda x: F.abs(x)))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    scaled = classes.withColumn("raw", F.col("v")).withColumn("v", F.transform("v", lambda x: x / norm))
+    scaled = classes.withColumn("raw", F.col("v")).withColumn("v", F.transform("raw", lambda x: x / largest)).withColumn("v", F.transform("v", lambda x: x / norm))
     classes = written(coded(scaled, fits).select("label", F.col("raw").alias("v"), F.size("raw").alias("length"), "id", "members", "code"), "vector-classes")
     pairs = written(_linked(classes, threshold, probe, max_distance), "vector-links")
 

@@ -91,6 +91,29 @@ def test_recall_at_the_threshold(spark):
     assert out.agg(F.sum("n_links")).first()[0] >= 0.97 * 800
 
 
+def test_recall_of_vectors_with_a_common_direction(spark):
+    """All vectors lean the same way, as embeddings of one model often do; most pairs at the threshold are found."""
+    rng = np.random.default_rng(3)
+    common = np.zeros(64)
+    common[0] = 1.0
+    rows = []
+    for i in range(600):
+        a = rng.standard_normal(64) / 8 + 2.0 * common
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (b @ a) * a
+        rows += [(2 * i, a.tolist(), i), (2 * i + 1, (0.9803 * a + np.sqrt(1 - 0.9803**2) * b / np.linalg.norm(b)).tolist(), i)]
+    out = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert out.agg(F.sum("n_links")).first()[0] >= 0.95 * 1200
+
+
+def test_tiny_and_huge_vectors(spark):
+    base = [1.0, 2.0, 1.0]
+    rows = [(i, [x * scale for x in base], 1) for i, scale in enumerate([1.0, 1e-200, 1e-300, 1e200, 1e300])]
+    out = vector_dedup.near_vectors(spark.createDataFrame(rows + [(9, [1e-200, -1e-200, 0.0], 1)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (4, 0) for i in range(5)} | {9: (0, 9)}
+
+
 def test_near_vectors_of_several_lengths(spark):
     """Every length is compared, whether it learns a rotation, has too few vectors or is beyond the fitted lengths."""
     rng = np.random.default_rng(11)
@@ -108,6 +131,12 @@ def test_near_vectors_empty(spark):
     assert vector_dedup.near_vectors(empty).count() == 0
 
 
+def test_top_k_scores_out_of_range_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1 << 40, 5]), (2, [1 << 40, 7])], "vec_id long, vec array<long>")
+    with pytest.raises(Exception, match="beyond 2\\^61"):
+        topk.top_k(rows, rows, k=1).collect()
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.integers(-9, 9, 6).tolist()) for i in range(300)] + [(i, [3] * 6) for i in range(300, 380)] + [(400, None), (None, [1] * 6), (401, [1, 2]), (402, [])]
@@ -125,7 +154,7 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_top_k_extremes(spark):
-    big = [(0, [1 << 60, 1]), (20, [1 << 60, 2]), (1, [-(1 << 60), 0]), (2, [0, 0])]
+    big = [(0, [1 << 30, 1]), (20, [1 << 30, 2]), (1, [-(1 << 30), 0]), (2, [0, 0])]
     table = spark.createDataFrame(big, "vec_id long, vec array<long>")
     out = topk.top_k(table, table.where("vec_id % 20 = 0"), k=2).collect()
     assert {(r.query_id, r.rank, r.vec_id) for r in out} == {(0, 1, 20), (0, 2, 2), (20, 1, 0), (20, 2, 2)}

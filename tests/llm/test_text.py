@@ -246,12 +246,13 @@ def test_language_spans_and_edges(spark, documents):
 def test_scripts_without_a_language_count_for_none(spark, documents):
     english, german = "the quick brown fox jumps over the lazy dog ", "der schnelle braune fuchs springt über den hund "
     model = language.train(documents([(1, english * 3, "en"), (2, german * 3, "de")]))
-    rows = [(1, "Добрый день, как дела"), (2, "η γρήγορη αλεπού"), (3, "你好世界"), (4, english + "день " * 3 + english), (5, "the день" * 5), (6, english)]
+    rows = [(7, "\u0301 \u0302\u0303"), (1, "Добрый день, как дела"), (2, "η γρήγορη αλεπού"), (3, "你好世界"), (4, english + "день " * 3 + english), (5, "the день" * 5), (6, english)]
     out = {r.doc_id: r for r in language.identify(documents(rows), model).collect()}
-    assert [(out[i].lang_pred, out[i].score, out[i].spans) for i in (1, 2, 3)] == [("und", 0.0, [])] * 3
+    assert [(out[i].lang_pred, out[i].score, out[i].spans) for i in (1, 2, 3)] == [("de", 0.0, [])] * 3
     assert out[4].lang_pred == "en" and out[4].score == 70 / 82 and [s.lang for s in out[4].spans] == ["en", "en"]
     assert out[4].spans[0].end == len(english) - 1 and out[4].spans[1].start == len(english) + 15
     assert out[5].score < 0.5 and out[6].score == 1.0
+    assert (out[7].lang_pred, out[7].score, out[7].spans) == ("und", 0.0, [])  # marks without a letter
 
 
 def test_pipeline_language_stage_rejects_foreign_scripts_and_wants_labels(spark, documents):
