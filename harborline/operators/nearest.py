@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.session import written
+
 QUERIES_PER_BLOCK = 4096
 ROWS_PER_BLOCK = 16384
 POSTINGS = 65536  # ids of one posting list at most, about
@@ -54,14 +56,13 @@ def keyword_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFram
     """
     asked = queries.select("query_id", words(F.coalesce("text", F.lit(""))).alias("words"))
     tokens = asked.select("query_id", F.size("words").alias("size"), F.explode("words").alias("token"))
-    index = postings(corpus, tokens.select("token").distinct())
+    index = written(postings(corpus, tokens.select("token").distinct()), "postings")  # read twice
     frequency = index.select("token", "documents").distinct()
     salted = tokens.join(frequency, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), salts("documents") - 1)))
     met = salted.join(index.select("token", "salt", "block", "ids"), ["token", "salt"]).select("query_id", "size", "block", "ids")
-    met = met.repartition("query_id", "block")  # lists move, not single ids
-    counted = met.select("query_id", "size", "block", F.explode("ids").alias("id")).groupBy("query_id", "block", "id")
-    scored = counted.agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
-    found = best(scored.select("query_id", "id", F.round("score", DIGITS).alias("score")), k)
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["id"]
+    counted = met.groupBy("query_id", "block").applyInArrow(_most_hits(k), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    found = best(counted, k)
 
     first = [row.id for row in corpus.select("id").orderBy("id").limit(k).collect()]
     rest = asked.select("query_id", F.explode(F.array(*(F.lit(i) for i in first)) if first else F.array().cast(f"array<{dict(corpus.dtypes)['id']}>")).alias("id"))
@@ -69,6 +70,24 @@ def keyword_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFram
     return best(rows.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
+def _most_hits(k: int):
+    """Of the posting lists of a query and block the ids that are in most of them."""
+
+    def work(table):
+        counts = pc.value_counts(table.column("ids").combine_chunks().flatten())
+        hits, ids = counts.field("counts"), counts.field("values")
+        if len(hits) > k:  # ids with fewer hits than the k-th are out before the rest is put in order
+            least = np.partition(hits.to_numpy(), len(hits) - k)[len(hits) - k]
+            near = pc.greater_equal(hits, int(least))
+            hits, ids = hits.filter(near), ids.filter(near)
+        order = pc.sort_indices(pa.table({"hits": hits, "id": ids}), [("hits", "descending"), ("id", "ascending")])[:k]
+        score = np.round(hits.take(order).to_numpy() / table.column("size")[0].as_py(), DIGITS)
+        query = pa.array([table.column("query_id")[0].as_py()] * len(order), table.schema.field("query_id").type)
+        return pa.table({"query_id": query, "id": ids.take(order), "score": score})
+
+    return work
+
+
 def best(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
