@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -139,80 +138,103 @@ class Tokenizers:
 
 
 class Aligner:
-    """Tokens of both kinds for whole texts, cut into groups at shared ends."""
+    """Tokens of both kinds for whole texts, cut into groups at shared ends; works on all texts that it is given at once."""
 
     def __init__(self, tokenizers: Tokenizers, memo: int = MEMO):
         self.tok, self.limit = tokenizers, memo
         self.known, self.before = {}, {}  # once the first is full it becomes the second, from which what is still in use comes back
         self.size_a, self.size_b = (np.array([len(t) for t in table], np.int64) for table in (tokenizers.bytes_a, tokenizers.bytes_b))
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in table], bool) for table in (tokenizers.bytes_a, tokenizers.bytes_b))
-        self.lengths = [*self.size_a.tolist(), *self.size_b.tolist()]  # of an id of A, or of B after all of A
-        self.names = [str(i) for table in (self.size_a, self.size_b) for i in range(len(table))]
-
-    def __call__(self, texts: list[str]) -> Iterator[Row]:
-        full = [text for text in texts if text]
-        found = zip(full, self.tok.ids_a([f" {t}" for t in full]), self.tok.ids_b(full)) if full else iter(())
-        for text in texts:
-            if text:
-                text, a, b = next(found)
-                yield self.align(text, a, b)
-            else:
-                yield NO_TOKENS
-
-    def align(self, text: str, a: np.ndarray, b: np.ndarray) -> Row:
-        """Number of tokens of both, groups as text, linked pairs with their number of links."""
-        data = b" " + text.encode()
-        for ids, table in ((a, self.tok.bytes_a), (b, self.tok.bytes_b)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != data:
-                return NO_TOKENS
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        # Anchors: both tokens end at one byte and both next tokens begin with a space (or the text ends).
+        # Each id as text, thrice: before a further token of its kind, before the other kind's and at the end of its group.
+        self.first_b = len(self.size_a)
+        self.names = [f"{i}{mark}" for count in (self.first_b, len(self.size_b)) for i in range(count) for mark in ",|;"]
+        self.width = np.array([len(name) for name in self.names[::3]], np.int64)
+
+    def __call__(self, texts: list[str]) -> list[Row]:
+        """Per text its number of tokens of both, groups as text, linked pairs with their number of links."""
+        rows = [NO_TOKENS] * len(texts)
+        full = [i for i, text in enumerate(texts) if text]
+        if not full:
+            return rows
+        found = zip(full, self.tok.ids_a([f" {texts[i]}" for i in full]), self.tok.ids_b([texts[i] for i in full]))
+        found = [(i, a, b) for i, a, b in found if self.joins(b" " + texts[i].encode(), a, b)]
+        if not found:
+            return rows
+        a, b = (np.concatenate(ids) for ids in list(zip(*found))[1:])
+        keys, ends = self.windows(a, b)
+        known = self.aligned(keys)
+        groups, pairs = zip(*map(known.__getitem__, keys))
+        # A text ends where its last token does, and the next one begins with a space, so its end is an anchor.
+        last = np.searchsorted(ends, np.cumsum([len(a) for _, a, _ in found])).tolist()
+        start = 0
+        for (i, a, b), at in zip(found, last):
+            of_text, times = np.unique(np.frombuffer(b"".join(pairs[start : at + 1]), np.int64), return_counts=True)
+            rows[i] = len(a), len(b), "".join(groups[start : at + 1])[:-1], of_text, times
+            start = at + 1
+        return rows
+
+    def joins(self, data: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the tokens of both join to the text's bytes."""
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == data for ids, table in ((a, self.tok.bytes_a), (b, self.tok.bytes_b)))
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each window (A's before B's, which are numbered after all of A) as bytes, and the number of A's tokens up to its end."""
+        # Anchors: both tokens end at one byte and both next tokens begin with a space (or the texts end).
         marked_a = np.flatnonzero(np.append(self.space_a[a[1:]], True))
         marked_b = np.flatnonzero(np.append(self.space_b[b[1:]], True))
-        _, in_a, in_b = np.intersect1d(end_a[marked_a], end_b[marked_b], assume_unique=True, return_indices=True)
+        in_a, in_b = shared_ends(np.cumsum(self.size_a[a])[marked_a], np.cumsum(self.size_b[b])[marked_b])
         stop_a, stop_b = marked_a[in_a] + 1, marked_b[in_b] + 1
-        # All ids in the order of the windows, A's before B's, so that a window is one slice.
-        long_a, long_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
-        ids = np.empty(len(a) + len(b), np.int32)
-        ids[np.arange(len(a)) + np.repeat(stop_b - long_b, long_a)] = a
-        ids[np.arange(len(b)) + np.repeat(stop_a, long_b)] = b + len(self.size_a)
-        packed, stops = ids.tobytes(), (4 * (stop_a + stop_b)).tolist()
-        keys = [packed[i:j] for i, j in zip([0, *stops], stops)]
-        windows = list(map(self.known.get, keys))
-        if None in windows:
-            windows = [one or self.window(key) for one, key in zip(windows, keys)]
-        groups, pairs = zip(*windows)
-        pairs, times = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
-        return len(a), len(b), ";".join(groups), pairs, times
-
-    def window(self, key: bytes) -> tuple[str, bytes]:
-        """Groups of one window as text, and the pairs (A id * 2^32 + B id) that end them as bytes; remembered by the ids."""
-        if len(self.known) >= self.limit:
-            self.known, self.before = {}, self.known
-        if one := self.known.get(key) or self.before.get(key):
-            self.known[key] = one
-            return one
-        ids, lengths, names, first_b = memoryview(key).cast("i").tolist(), self.lengths, self.names, len(self.size_a)
-        groups, pairs = [], array("q")
-        m = 0
-        while ids[m] < first_b:
-            m += 1
-        a, i, j = ids[:m], 0, m
-        end_a = end_b = 0
-        for k, token in enumerate(a, 1):
-            end_a += lengths[token]
-            while end_b < end_a:
-                end_b += lengths[ids[m]]
-                m += 1
-            if end_a == end_b:
-                if k - i == m - j == 1:
-                    groups.append(names[token] + "|" + names[ids[j]])
-                else:
-                    groups.append(",".join([names[t] for t in a[i:k]]) + "|" + ",".join([names[t] for t in ids[j:m]]))
-                pairs.append((token << 32) + ids[m - 1] - first_b)
-                i, j = k, m
-        one = self.known[key] = ";".join(groups), pairs.tobytes()
-        return one
+        packed = dealt(a.astype(np.int32), (b + self.first_b).astype(np.int32), stop_a, stop_b).tobytes()
+        stops = (4 * (stop_a + stop_b)).tolist()
+        return [packed[i:j] for i, j in zip([0, *stops], stops)], stop_a
+
+    def aligned(self, keys: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """The alignment of each window: remembered by its ids, or made now, all new ones at once."""
+        fresh = dict.fromkeys(key for key in keys if key not in self.known)
+        back = {key: self.before[key] for key in fresh if key in self.before}
+        new = [key for key in fresh if key not in back]
+        known = self.known
+        known.update(back)
+        known.update(zip(new, self.align(new)))
+        if len(known) >= self.limit:
+            self.known, self.before = {}, known
+        return known
+
+    def align(self, keys: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """Groups of each window as text, every group closed by a semicolon, and the pairs (A id * 2^32 + B id) that end them as bytes."""
+        if not keys:
+            return iter(())
+        ids = np.frombuffer(b"".join(keys), np.int32).astype(np.int64)
+        stops = np.cumsum([len(key) // 4 for key in keys])
+        of_b = ids >= self.first_b
+        a, b = ids[~of_b], ids[of_b]
+        # Both kinds of a window have as many bytes, so that offsets may run on from window to window.
+        in_a, in_b = shared_ends(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b - self.first_b]))
+        name_a, name_b = 3 * a, 3 * b
+        name_a[in_a] += 1
+        name_b[in_b] += 2
+        names = dealt(name_a, name_b, in_a + 1, in_b + 1)
+        text = "".join(map(self.names.__getitem__, names.tolist()))
+        cuts = np.cumsum(self.width[names // 3])[stops - 1].tolist()
+        pairs = ((a[in_a] << 32) + b[in_b] - self.first_b).tobytes()
+        links = (8 * np.searchsorted(in_a, np.cumsum(~of_b)[stops - 1])).tolist()
+        return zip([text[i:j] for i, j in zip([0, *cuts], cuts)], [pairs[i:j] for i, j in zip([0, *links], links)])
+
+
+def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values that two rising sequences share stand in each; the last value must be one of them."""
+    at = np.searchsorted(b, a)
+    in_a = np.flatnonzero(b[at] == a)
+    return in_a, at[in_a]
+
+
+def dealt(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> np.ndarray:
+    """All values of ``a`` and ``b`` in the order of their parts, of each part a's before b's; parts end before the stops."""
+    long_a, long_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    out = np.empty(len(a) + len(b), a.dtype)
+    out[np.arange(len(a)) + np.repeat(stop_b - long_b, long_a)] = a
+    out[np.arange(len(b)) + np.repeat(stop_a, long_b)] = b
+    return out
 
 
 def _column(rows: list[Row]) -> pa.Array:
@@ -229,7 +251,8 @@ def align(docs: DataFrame, tokenizers: Tokenizers, text_col: str = "text") -> Da
     A space and the text are encoded by both, without special tokens (their strings inside a text are plain text). The byte offsets
     where tokens of both end cut the tokens into groups; the last tokens of a group are linked. Whitespace tokens are the
     anchors: shared ends before tokens that begin with a space, found by comparing the offsets of the whole text, cut it into
-    windows, mostly single words, whose alignment is remembered by its ids (at most twice MEMO windows a task).
+    windows, mostly single words, whose alignment is remembered by its ids (at most twice MEMO windows and those of 1 MB of text
+    a task); the windows of that text that are new are aligned together.
 
     Returns the input's columns, then ``n_a``, ``n_b`` (tokens), ``groups`` (``a1,a2|b1;a3|b2,b3``: ids of both by group) and ``links``
     (each linked pair, A id * 2^32 + B id, with its number of links in the text).

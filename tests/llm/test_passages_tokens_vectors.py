@@ -127,6 +127,10 @@ def test_alignment_forgets_and_stays_right():
     texts = [t for t in TEXTS if t] * 2
     few, many = (list(token_alignment.Aligner(files, memo)(texts)) for memo in (2, 1 << 17))
     assert [r[:3] for r in few] == [r[:3] for r in many]
+    aligner = token_alignment.Aligner(files, 2)
+    single = [aligner([text])[0] for text in texts]
+    assert [r[:3] for r in single] == [r[:3] for r in many]
+    assert all((x == y).all() and (n == m).all() for (*_, x, n), (*_, y, m) in zip(single, many))
 
 
 def test_ranks_give_the_tokens_of_the_file_for_every_character():
