@@ -162,8 +162,8 @@ class Aligner:
             return rows
         a, b = (np.concatenate(ids) for ids in list(zip(*found))[1:])
         keys, ends = self.windows(a, b)
-        known = self.aligned(keys)
-        groups, pairs = zip(*map(known.__getitem__, keys))
+        aligned = self.aligned(keys)
+        groups, pairs = [one[0] for one in aligned], [one[1] for one in aligned]
         # A text ends where its last token does, and the next one begins with a space, so its end is an anchor.
         last = np.searchsorted(ends, np.cumsum([len(a) for _, a, _ in found])).tolist()
         start = 0
@@ -188,17 +188,20 @@ class Aligner:
         stops = (4 * (stop_a + stop_b)).tolist()
         return [packed[i:j] for i, j in zip([0, *stops], stops)], stop_a
 
-    def aligned(self, keys: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+    def aligned(self, keys: list[bytes]) -> list[tuple[str, bytes]]:
         """The alignment of each window: remembered by its ids, or made now, all new ones at once."""
-        fresh = dict.fromkeys(key for key in keys if key not in self.known)
-        back = {key: self.before[key] for key in fresh if key in self.before}
-        new = [key for key in fresh if key not in back]
         known = self.known
-        known.update(back)
-        known.update(zip(new, self.align(new)))
+        found = list(map(known.get, keys))
+        fresh = dict.fromkeys([key for key, one in zip(keys, found) if one is None])
+        if fresh:
+            back = {key: self.before[key] for key in fresh if key in self.before}
+            new = [key for key in fresh if key not in back]
+            known.update(back)
+            known.update(zip(new, self.align(new)))
+            found = [one or known[key] for key, one in zip(keys, found)]
         if len(known) >= self.limit:
             self.known, self.before = {}, known
-        return known
+        return found
 
     def align(self, keys: list[bytes]) -> Iterator[tuple[str, bytes]]:
         """Groups of each window as text, every group closed by a semicolon, and the pairs (A id * 2^32 + B id) that end them as bytes."""
