@@ -184,11 +184,19 @@ def insight_metrics(delivery: DataFrame, inventory: DataFrame, sales: DataFrame)
     )
 
 
-def insight_severity(metrics: DataFrame) -> DataFrame:
-    """Four insight rows (id, title, value, impact, confidence, category) from the insight metrics."""
-    late = F.col("late_pct")
+def insight_severity(metrics: DataFrame, riskiest: DataFrame) -> DataFrame:
+    """Four insight rows (id, title, summary, value, impact, confidence, category) from the insight metrics and the riskiest mode."""
+    late, mode_late = F.col("late_pct"), F.coalesce("mode_late_pct", F.lit(0.0))
+    mode = riskiest.select("shipping_mode", F.col("late_pct").alias("mode_late_pct"))
     defect = clamp(F.col("max_defect_rate") * 20)
     confidence = display.whole(clamp(F.lit(100.0) - late / 2, 55, 96))
+    # fixed values: the sentences that readers of the insights know
+    summaries = {
+        "i1": [F.coalesce("shipping_mode", F.lit("Primary")), " shipping has the highest late-delivery signal at ", display.fixed(mode_late, 1), "%."],
+        "i2": [display.grouped(F.col("below_reorder")), " product-store pairs are below reorder point in the Gold inventory features."],
+        "i3": [display.grouped(F.col("overstocked")), " product-store pairs are above twice their reorder point."],
+        "i4": ["Maximum defect signal maps to a ", display.whole(defect).cast("string"), "/100 quality-risk score."],
+    }
     rows = [
         ("i1", "Delivery pressure", late, bands.grade(late, 30, 15, True), confidence, "Logistics"),
         ("i2", "Reorder exposure", F.col("below_reorder"), bands.grade(F.col("below_reorder"), 50, 0), 88, "Inventory"),
@@ -206,6 +214,7 @@ def insight_severity(metrics: DataFrame) -> DataFrame:
         F.struct(
             F.lit(key).alias("id"),
             F.lit(title).alias("title"),
+            F.concat(*(F.lit(part) if isinstance(part, str) else part for part in summaries[key])).alias("summary"),
             value.cast("double").alias("value"),
             impact.alias("impact"),
             (F.lit(sure) if isinstance(sure, int) else sure).cast("bigint").alias("confidence"),
@@ -213,7 +222,7 @@ def insight_severity(metrics: DataFrame) -> DataFrame:
         )
         for key, title, value, impact, sure, category in rows
     ]
-    return metrics.select(F.inline(F.array(*structs)))
+    return side_by_side(metrics, mode).select(F.inline(F.array(*structs)))
 
 
 def historical_insights(summary: DataFrame) -> DataFrame:
@@ -292,7 +301,7 @@ def dashboard_summary(delivery: DataFrame, inventory: DataFrame, sales: DataFram
     return {
         "kpi_metrics": kpi_metrics(delivery, inventory, sales),
         "activity_feed": activity_feed(delivery, inventory),
-        "insights": insight_severity(insight_metrics(delivery, inventory, sales)),
+        "insights": insight_severity(insight_metrics(delivery, inventory, sales), riskiest_mode(delivery)),
         "replenishment": replenishment_candidates(inventory),
         "utilisation": warehouse_utilisation(inventory),
         "shipment_stats": shipment_stats(delivery),

@@ -71,16 +71,17 @@ def pending(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(done.select("id"), "id", "left_anti")
 
 
-def documents_to_vectors(documents: DataFrame) -> DataFrame:
-    """Documents as (id, content, source), each content once; the id is a stable hash of the content.
-
-    Equal contents are one document, with the first of their sources by name. Empty contents are kept, NULL counts as empty.
-    """
+def as_vectors(documents: DataFrame) -> DataFrame:
+    """Documents as (id, content, source); the id is a stable hash of the content. Empty contents are kept, NULL counts as empty."""
     content = F.coalesce("content", F.lit(""))
     digest = F.sha2(content.cast("binary"), 256)
     source = F.coalesce("source", F.lit("unknown"))
-    rows = documents.select(F.concat(F.lit("upload_"), digest).alias("id"), content.alias("content"), source.alias("source"))
-    return keep_first(rows, ["id"], [F.col("source")])
+    return documents.select(F.concat(F.lit("upload_"), digest).alias("id"), content.alias("content"), source.alias("source"))
+
+
+def documents_to_vectors(documents: DataFrame) -> DataFrame:
+    """Each content once, with the first of its sources by name."""
+    return keep_first(as_vectors(documents), ["id"], [F.col("source")])
 
 
 def corpus_status(corpus: DataFrame, namespace: str = "namespace") -> DataFrame:

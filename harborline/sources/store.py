@@ -34,7 +34,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, order: list[Colu
     new = written(keep_first(incoming, [key], order, ties=ties).select("*", bucket), "upsert-incoming")
     touched = sorted(row[0] for row in new.select(BUCKET).distinct().collect())
     merged = new
-    if touched and _exists(spark, path):
+    if touched and exists(spark, path):
         stored = spark.read.schema(new.schema).parquet(path).where(F.col(BUCKET).isin(touched))
         merged = written(stored.join(new.select(key), key, "left_anti").select(*new.columns).unionByName(new), "upsert-merged")
     if touched:
@@ -74,6 +74,6 @@ def delete_rows(spark: SparkSession, path: str, condition: Column, partitions: l
     return touched
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -11,7 +11,7 @@ from harborline.functions import bands, cleaning, measures, months
 from harborline.operators import joins, keep, nearest, rolling
 from harborline.plans import answers, demand, gold, inventory, kpis, logistics, models, retrieval, risk, scoring, shipments, silver
 from harborline.session import fresh_path, written
-from harborline.sources import files, store, tables
+from harborline.sources import batches, files, intake, store, tables
 from harborline.sources.bindings import order_events
 from harborline.streaming import marts
 from harborline.streaming import orders as live
@@ -676,9 +676,17 @@ register(
 register("lead_time_by_mode", lambda L: answers.lead_time_by_mode(L.flat), MODE_LEAD)
 
 
+# What the payloads of the overview hold beside ids and numbers, in the order in which the check lists it.
+PAYLOAD_TEXTS = ["agent", "label", "title", "summary", "action", "description", "hint", "impact", "confidence", "category", "status", "name", "utilisation", "capacity", "total", "on_time", "delayed", "at_risk"]
+
+
 def _dashboard(L: Layers) -> DataFrame:
-    parts = kpis.dashboard_summary(L.delivery, L.inventory_features, L.sales_ml)
-    return kpis.as_payload({name: parts[name] for name in ("activity_feed", "utilisation", "shipment_stats", "replenishment")})
+    """The six payloads, taken apart again; order rows and stock rows are stored once for all of them."""
+    rows, stock = written(L.rows, "dashboard-orders"), written(L.inventory_features, "dashboard-stock")
+    payloads = kpis.as_payload(kpis.dashboard_summary(rows, stock, rows))
+    entries = payloads.select("part", F.explode(F.from_json("payload", "array<map<string,string>>")).alias("e"))
+    texts = F.concat_ws("|", *(F.col("e")[name] for name in PAYLOAD_TEXTS)).alias("texts")
+    return entries.select("part", F.col("e")["id"].alias("id"), texts, F.round(F.col("e")["value"].cast("double"), 6).alias("value"))
 
 
 # --- 2.6 windows ----------------------------------------------------------------------------------------------------
@@ -891,18 +899,21 @@ register(
     "SELECT order_id, product_id, shipment_date::VARCHAR AS shipment_date, score AS risk_score, status FROM v_shipped",
 )
 GRADE = "CASE WHEN {v} > {a} THEN 'High' WHEN {v} > {b} THEN 'Medium' ELSE 'Low' END"
-register(
-    "insight_severity",
-    lambda L: kpis.insight_severity(insight_metrics(L)),
-    f"""
-    SELECT 'i1' AS id, 'Delivery pressure' AS title, late_pct AS value,
+INSIGHTS = f"""
+    SELECT 'i1' AS id, 'Delivery pressure' AS title, (SELECT mode || ' shipping has the highest late-delivery signal at ' || {fixed('late_pct', 1)} || '%.'
+        FROM v_modes ORDER BY v_modes.late_pct DESC, mode LIMIT 1) AS summary, late_pct AS value,
       CASE WHEN late_pct >= 30 THEN 'High' WHEN late_pct >= 15 THEN 'Medium' ELSE 'Low' END AS impact,
       round_even(least(96, greatest(55, 100 - late_pct / 2)), 0)::BIGINT AS confidence, 'Logistics' AS category FROM v_insight
-    UNION ALL SELECT 'i2', 'Reorder exposure', below_reorder, {GRADE.format(v='below_reorder', a=50, b=0)}, 88, 'Inventory' FROM v_insight
-    UNION ALL SELECT 'i3', 'Working capital watch', overstocked, IF(overstocked > 0, 'Medium', 'Low'), 82, 'Inventory' FROM v_insight
-    UNION ALL SELECT 'i4', 'Supplier quality signal', d, {GRADE.format(v='d', a=70, b=40)}, 79, 'Risk'
-      FROM (SELECT least(100, greatest(0, max_defect_rate * 20)) AS d FROM v_insight)
-    """,
+    UNION ALL SELECT 'i2', 'Reorder exposure', {thousands('below_reorder')} || ' product-store pairs are below reorder point in the Gold inventory features.',
+      below_reorder, {GRADE.format(v='below_reorder', a=50, b=0)}, 88, 'Inventory' FROM v_insight
+    UNION ALL SELECT 'i3', 'Working capital watch', {thousands('overstocked')} || ' product-store pairs are above twice their reorder point.',
+      overstocked, IF(overstocked > 0, 'Medium', 'Low'), 82, 'Inventory' FROM v_insight
+    UNION ALL SELECT 'i4', 'Supplier quality signal', 'Maximum defect signal maps to a ' || round_even(d, 0)::BIGINT || '/100 quality-risk score.',
+      d, {GRADE.format(v='d', a=70, b=40)}, 79, 'Risk' FROM (SELECT least(100, greatest(0, max_defect_rate * 20)) AS d FROM v_insight)"""
+register(
+    "insight_severity",
+    lambda L: kpis.insight_severity(insight_metrics(L), kpis.riskiest_mode(L.delivery)),
+    INSIGHTS,
 )
 register(
     "historical_insights",
@@ -1082,15 +1093,48 @@ def _upserted(L: Layers) -> DataFrame:
 register("upsert_chunks", lambda L: _upserted(L).select("id", "text"), f"SELECT id, text FROM ({CHUNKS_SQL})")
 
 
+EMBED_BATCHES = 16
+
+
 def _resume(L: Layers) -> DataFrame:
-    chunks = written(_chunks(L), "chunks")
-    done = chunks.filter(F.element_at("metadata", "shipment_date") < AS_OF.isoformat())
-    return retrieval.pending(chunks, done).select("id", "text")
+    """A job that ended after half of its batches goes on; a digest of the text stands for its vector."""
+    staged, out = fresh_path(L.spark, "chunk-batches"), fresh_path(L.spark, "chunk-vectors")
+    batches.stage(_chunks(L).select("id", "text"), staged, EMBED_BATCHES)
+    for attempt, most in ((1, EMBED_BATCHES // 2), (2, None)):
+        batches.run(L.spark, staged, out, lambda rows, attempt=attempt: rows.select("id", F.sha2("text", 256).alias("vector"), F.lit(attempt).alias("attempt"), batches.BATCH), most=most)
+    return L.spark.read.parquet(f"{out}/rows")
+
+
+register(
+    "embed_resume",
+    _resume,
+    f"""SELECT id, sha256(text) AS vector, IF(dense_rank() OVER (ORDER BY batch) <= {EMBED_BATCHES // 2}, 1, 2) AS attempt, batch::INT AS batch
+      FROM (SELECT *, ('0x' || substr(md5(id), 1, 8))::BIGINT % {EMBED_BATCHES} AS batch FROM ({CHUNKS_SQL}))""",
+)
+
+
+def _ingested(L: Layers) -> DataFrame:
+    """Every document as a text file of its own, in two deliveries; a third call finds nothing new."""
+    folder, corpus = fresh_path(L.spark, "uploads"), fresh_path(L.spark, "uploaded")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    taken = []
+    for delivery in (english, ~english):
+        L.table("documents").where(delivery).select("doc_id", text).write.mode("append").partitionBy("doc_id").text(folder)
+        taken.append(intake.ingest(L.spark, folder, corpus))
+    taken.append(intake.ingest(L.spark, folder, corpus))
+    return intake.documents(L.spark, corpus).select("id", "content", *(F.lit(n).alias(f"files_{i}") for i, n in enumerate(taken, 1)))
 
 
-register("embed_resume", _resume, f"SELECT id, text FROM ({CHUNKS_SQL}) WHERE shipment_date >= {SQL_AS_OF}")
 register(
     "ingest_documents",
+    _ingested,
+    # a text file ends with a line break
+    """SELECT 'upload_' || sha256(content) AS id, content, files_1, files_2, 0 AS files_3 FROM (SELECT DISTINCT ifnull(text, '') || chr(10) AS content FROM documents),
+      (SELECT count(*) FILTER (lang = 'en') AS files_1, count(*) FILTER (lang IS DISTINCT FROM 'en') AS files_2 FROM documents)""",
+)
+register(
+    "documents_to_vectors",
     lambda L: retrieval.documents_to_vectors(L.table("documents").select(F.col("text").alias("content"), "source")),
     "SELECT 'upload_' || sha256(ifnull(text, '')) AS id, ifnull(text, '') AS content, min(ifnull(source, 'unknown')) AS source FROM documents GROUP BY ALL",
 )
@@ -1456,7 +1500,11 @@ register(
 )
 register(
     "dashboard_summary",
-    lambda L: _dashboard(L).select("part", F.size(F.from_json("payload", "array<map<string,string>>")).alias("entries")),
-    f"""SELECT 'activity_feed' AS part, count(*)::INT AS entries FROM ({FEED}) UNION ALL SELECT 'utilisation', count(*) FROM ({UTILISATION})
-      UNION ALL SELECT 'shipment_stats', count(*) FROM ({STATS}) UNION ALL SELECT 'replenishment', count(*) FROM ({REPLENISH})""",
+    _dashboard,
+    f"""SELECT 'kpi_metrics' AS part, id, label || '|' || hint AS texts, value FROM ({KPI})
+      UNION ALL SELECT 'activity_feed', id, agent || '|' || action || '|' || status, NULL FROM ({FEED})
+      UNION ALL SELECT 'insights', id, title || '|' || summary || '|' || impact || '|' || confidence || '|' || category, round(value, 6) FROM ({INSIGHTS})
+      UNION ALL SELECT 'replenishment', id, title || '|' || description || '|' || status, NULL FROM ({REPLENISH})
+      UNION ALL SELECT 'utilisation', id, name || '|' || utilisation || '|' || capacity, NULL FROM ({UTILISATION})
+      UNION ALL SELECT 'shipment_stats', NULL, total || '|' || on_time || '|' || delayed || '|' || at_risk, NULL FROM ({STATS})""",
 )
