@@ -174,8 +174,9 @@ class Aligner:
         return rows
 
     def joins(self, data: bytes, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether the tokens of both join to the text's bytes."""
-        return all(b"".join(map(table.__getitem__, ids.tolist())) == data for ids, table in ((a, self.tok.bytes_a), (b, self.tok.bytes_b)))
+        """Whether the tokens of both join to the text's bytes; merging by rank leaves bytes out at most, so that their number tells."""
+        whole = int(self.size_a[a].sum()) == len(data) if self.tok.by_rank else b"".join(map(self.tok.bytes_a.__getitem__, a.tolist())) == data
+        return whole and b"".join(map(self.tok.bytes_b.__getitem__, b.tolist())) == data
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The ids of each window (A's before B's, which are numbered after all of A) as bytes, and the number of A's tokens up to its end."""
