@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import isolation, joins, keep, nearest, rolling
+from harborline.functions import measures
 from harborline.plans import gold
 
 ORDER = ["order_date", "order_id", "product_id"]
@@ -208,3 +209,20 @@ def test_isolation_forest_ranks_outliers_first(spark):
     scored = isolation.score(df, ["a", "b"], forest)
     assert {9000, 9001} <= {row.id for row in scored.orderBy(F.col("isolation").desc()).limit(10).collect()}
     assert isinstance(forest, pd.DataFrame)
+
+
+def test_exact_means_equal_moving_aggregates_and_add_up_no_frame(spark):
+    """Nulls, ties in the frame's edge, a group without any value; decimals and whole numbers."""
+    rows = [(i % 3, i, None if i % 3 == 2 or i % 7 == 0 else i * 13 % 50, f"{i * 37 % 1000}.{i % 100:02d}" if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, at int, n int, text string").withColumn("d", F.col("text").cast("decimal(18,2)"))
+    plain = {"a": lambda w: F.avg("n").over(w), "b": lambda w: measures.mean(F.col("d"), w), "c": lambda w: F.count(F.lit(1)).over(w)}
+    exact = {"a": rolling.ExactMean("n"), "b": rolling.ExactMean("d"), "c": rolling.RowCount()}
+    want, got = (rolling.rolling(df, ["k"], ["at"], 30, m, []) for m in (plain, exact))
+    assert got.columns == want.columns and got.orderBy("at").collect() == want.orderBy("at").collect()
+    assert "-29" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_moving_means_of_decimals_are_taken_from_running_sums(spark):
+    df = orders(spark).withColumn("sales", F.col("sales").cast("decimal(18,2)"))
+    plan = gold.rolling_mode(gold.rolling_customer(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -29" not in plan

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from registry import catalog
+from registry.layers import Layers
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -103,3 +104,10 @@ def test_unused_windows_and_copies_are_pruned(spark):
 
 def test_every_query_but_the_fitted_models_has_sql():
     assert set(catalog.JOBS) - set(catalog.oracle_sql()) == {"ml_delivery_delay", "ml_anomaly", "ml_demand"}
+
+
+def test_window_readers_join_the_order_rows_once(spark):
+    """The rows that the moving windows read again are a stored table, and no customer of these tables needs blocks."""
+    layers = Layers(spark, FOLDER).stored
+    plan = layers.flat._jdf.queryExecution().optimizedPlan().toString()
+    assert layers.heavy_customers is None and "l_orderkey" not in plan and plan.count("Union") == 1
