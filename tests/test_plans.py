@@ -329,3 +329,23 @@ def test_equal_documents_are_stored_once_and_empty_ones_kept(spark):
     stored = retrieval.documents_to_vectors(spark.createDataFrame(rows, "content string, source string")).collect()
     assert sorted((r.content, r.source) for r in stored) == [("", "unknown"), (" ", "web"), ("a", "mail")]
     assert len({r.id for r in stored}) == 3
+
+
+def test_latest_texts_equal_latest_chunks_and_sort_no_text(spark):
+    sales = sales_frame(spark, [{"order_id": 5, "order_date": dt.date(2018, 1, 1 + i % 2), "department": "Health and Beauty", "sales": 10 + i} for i in range(6)])
+    flat = gold.flat_order_record(gold.delivery_rows(gold.joined_sales(sales, stock_frame(spark), supply_frame(spark)), AS_OF))
+    flat = flat.unionByName(flat.withColumn("product_id", F.lit(None).cast("bigint"))).unionByName(flat.withColumn("order_date", F.lit(None).cast("date")))
+    newest = [F.element_at("metadata", name).desc() for name in ("order_date", "shipment_date")]
+    want = retrieval.latest_chunks(retrieval.build_chunks(flat), newest).select("id", "text")
+    got = retrieval.latest_texts(flat, [retrieval.field_text(flat, name).desc() for name in ("order_date", "shipment_date")])
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.split("\n") if " Sort [" in line or "Exchange hashpartitioning(id" in line]
+    assert sorts and not any("text" in line for line in sorts)
+
+
+def test_rows_to_learn_from_are_spread_over_tasks(spark):
+    few = spark.range(1000, numPartitions=2)
+    assert models.spread(few, 500).rdd.getNumPartitions() == 2
+    sizes = models.spread(few, 100).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 150
