@@ -199,6 +199,25 @@ def test_search_keeps_queries_off_the_driver(spark):
     assert nearest.cosine_top_k(vectors.withColumnRenamed("id", "query_id").limit(0), vectors).count() == 0
 
 
+def test_keyword_search_moves_no_list_for_a_single_query(spark, monkeypatch):
+    """Rows that share an id or a query_id count together, ids may be null or text; lists meet all queries of a salt at once."""
+    monkeypatch.setattr(nearest, "POSTINGS", 4)
+    monkeypatch.setattr(nearest, "QUERIES_PER_SALT", 2)
+    corpus = [(f"d{i:02d}", " ".join(f"w{j}" for j in range(1, 8) if i % j == 0)) for i in range(20)] + [("d06", "w5 w7"), (None, "w1 w2 w3")]
+    queries = [("a", "w2 w3"), ("b", "w5 w7 w4"), ("c", "w6"), ("twice", "w7"), ("twice", "w7"), (None, "w3 w4"), ("none", "x")]
+    got = nearest.keyword_top_k(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(corpus, "id string, text string").repartition(3), 2)
+    found = {}
+    for row in got.orderBy("query_id", "rank").collect():
+        found.setdefault(row.query_id, []).append((row.id, row.score))
+    third = round(1 / 3, 9)
+    assert found == {
+        "a": [("d00", 1.0), ("d06", 1.0)], "b": [("d00", 1.0), ("d06", 2 * third + 1e-9)], "c": [("d00", 1.0), ("d06", 1.0)],
+        "twice": [("d00", 2.0), ("d06", 2.0)], None: [("d00", 1.0), ("d12", 1.0)], "none": [(None, 0.0), ("d00", 0.0)],
+    }
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
+
+
 def test_isolation_forest_ranks_outliers_first(spark):
     random_ = np.random.default_rng(4)
     points = [(i, float(a), float(b)) for i, (a, b) in enumerate(random_.normal(size=(2000, 2)))]
