@@ -1,9 +1,11 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from harborline.sources import batches, intake
+from registry import catalog
 from test_store import files
 
 
@@ -41,6 +43,27 @@ def test_intake_looks_at_no_file_before_its_mark(spark, tmp_path):
     assert {r.source for r in intake.documents(spark, corpus).collect()} == {"a.txt", "late.txt"}
 
 
+def test_intake_opens_no_file_that_it_has_taken(spark, tmp_path):
+    folder, corpus, then = tmp_path / "up", str(tmp_path / "corpus"), time.time() - 600
+    folder.mkdir()
+    (folder / "a.txt").write_text("a")
+    os.utime(folder / "a.txt", (then, then))
+    assert intake.ingest(spark, str(folder), corpus) == 1
+    (folder / ".a.txt.crc").write_bytes(b"crc\0\0\0\2\0\1\2\3\4")  # whoever opens a.txt now fails
+    assert intake.ingest(spark, str(folder), corpus) == 0
+    (folder / "b.txt").write_text("b")
+    assert intake.ingest(spark, str(folder), corpus) == 1
+    assert {r.content for r in intake.documents(spark, corpus).collect()} == {"a", "b"}
+
+
+def test_uploads_are_a_file_each_in_few_folders(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(300)] + [(None, "no id"), (900, None), (901, ""), (902, "one"), (902, "two")]
+    catalog._uploaded(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), str(tmp_path / "up"))
+    found = list((tmp_path / "up").rglob("*.txt"))
+    assert sorted(f.read_text() for f in found) == sorted([f"text {i}\n" for i in range(300)] + ["no id\n", "\n", "\n", "one\ntwo\n"])
+    assert len({f.parent for f in found}) <= catalog.SHELVES
+
+
 def test_intake_of_an_empty_folder(spark, tmp_path):
     assert intake.ingest(spark, str(tmp_path), str(tmp_path / "corpus")) == 0
 
