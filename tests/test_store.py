@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from harborline.session import written
 from harborline.sources import store
 
 
@@ -56,3 +57,13 @@ def test_deleted_rows_go_from_their_partitions_only(spark, tmp_path, wanted):
     assert changed == held and len([name for name in before if before[name] != after.get(name)]) == held
     assert {r.id for r in spark.read.parquet(path).collect()} == {i for i, _, _, value in rows if value != wanted}
     assert store.delete_rows(spark, path, F.col("value") == wanted, ["year", "month"]) == 0 and files(path) == after
+
+
+def test_deleting_rows_writes_what_stays_once(spark, tmp_path, monkeypatch):
+    path, stored = str(tmp_path / "rows"), []
+    monkeypatch.setattr(store, "written", lambda df, name: stored.append(set(df.columns)) or written(df, name))
+    rows = spark.range(100).selectExpr("id", "id % 10 AS part", "id % 7 AS value", "'wide' AS text")
+    rows.write.partitionBy("part").parquet(path)
+    assert store.delete_rows(spark, path, F.col("value") == 3, ["part"]) == 10
+    assert {r.id for r in spark.read.parquet(path).collect()} == {i for i in range(100) if i % 7 != 3}
+    assert stored and not any({"id", "text"} & columns for columns in stored)
