@@ -349,3 +349,15 @@ def test_rows_to_learn_from_are_spread_over_tasks(spark):
     assert models.spread(few, 500).rdd.getNumPartitions() == 2
     sizes = models.spread(few, 100).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 150
+
+
+def test_product_ranking_counts_orders_without_hashing_all_pairs(spark):
+    rows = [(o, p, f"{o * p % 13}.50", f"{o - p}.25") for o in range(30) for p in range(6) if (o + p) % 4] * 2
+    rows += [(None, 1, "7.00", "1.00"), (3, None, "900.00", "2.00"), (3, None, None, None), (4, None, "1.00", "1.00"), (None, 9, "800.00", "0.00")]
+    df = spark.createDataFrame(rows, "order_id bigint, product_id bigint, s string, p string").repartition(3)
+    records = df.select("order_id", "product_id", F.col("s").cast("decimal(18,2)").alias("sales"), F.col("p").cast("decimal(18,2)").alias("profit"))
+    got = answers.product_sales_rank(records, 5)
+    plain = records.groupBy("product_id").agg(F.sum("sales").cast("double"), F.sum("profit").cast("double"), F.countDistinct("order_id"))
+    want = sorted((tuple(r) for r in plain.collect()), key=lambda r: (-r[1], r[0] or -1))[:5]
+    assert [tuple(r)[:4] for r in got.orderBy("rank").collect()] == want and (9, 800.0, 0.0, 0) in want
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
