@@ -109,6 +109,18 @@ def test_rank_filter_keeps_one_row_per_key_before_the_shuffle(spark):
     assert plan.split("== Physical Plan ==")[1].count("WindowGroupLimit") == 2
 
 
+def test_greatest_rows_equal_first_rows_and_a_count_of_them_sorts_nothing(spark):
+    nan, columns = float("nan"), "k string, day date, n double, note string"
+    days = [None, dt.date(2020, 1, 1), dt.date(2020, 1, 2)]
+    rows = [(k, day, n, note) for k in ("a", None, "b") for day in days for n in (nan, None, 2.0, -1.0) for note in ("x", None, "y")]
+    df = spark.createDataFrame(random.Random(5).sample(rows[:60], 60) + rows[:7], columns)
+    found = keep.keep_greatest(df, ["k"], ["day"])
+    assert found.schema == df.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, keep.keep_first(df, ["k"], [F.col("day").desc_nulls_last()]).collect()))
+    plan = found.agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Sort", "Window", "max("))
+
+
 def test_scope_falls_back_to_all_rows(spark):
     df = spark.createDataFrame([(2016, 1), (2017, 2), (2017, 3)], "year int, quarter int")
     assert keep.scoped_or_all(df, F.col("year") == 2017).count() == 2

@@ -111,3 +111,9 @@ def test_window_readers_join_the_order_rows_once(spark):
     layers = Layers(spark, FOLDER).stored
     plan = layers.flat._jdf.queryExecution().optimizedPlan().toString()
     assert layers.heavy_customers is None and "l_orderkey" not in plan and plan.count("Union") == 1
+
+
+def test_layer_counts_rank_no_silver_rows(spark):
+    """Of the tables counted, only the gold one reads columns of its first rows; the silver ones are counted by their keys."""
+    plan = catalog.queries()["layer_row_counts"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and "max(struct" not in plan and "Supplier name" not in plan
