@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.common import as_row, field, unpacked
-from harborline.llm.shingles import groups
+from harborline.llm.shingles import groups, mixed
 
 MEMO = 1 << 16  # window alignments of each of the two generations that a task remembers
 # Fixed value: how a byte-level BPE cuts a text into the parts that it encodes one by one.
@@ -100,7 +100,7 @@ class Tokenizers:
         return [np.array(found.ids, np.int64) for found in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids_b(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        return [np.asarray(ids, np.int64) for ids in self.b.encode_as_numpy(texts, num_threads=1)]
 
     @cached_property
     def bytes_a(self) -> list[bytes]:
@@ -161,15 +161,20 @@ class Aligner:
         if not found:
             return rows
         a, b = (np.concatenate(ids) for ids in list(zip(*found))[1:])
-        keys, ends = self.windows(a, b)
-        aligned = self.aligned(keys)
+        ids, stops, ends = self.windows(a, b)
+        first, kinds = distinct(ids, stops)
+        packed, stops = ids.tobytes(), 4 * stops
+        starts = np.append(0, stops[:-1])[first]
+        aligned = self.aligned([packed[i:j] for i, j in zip(starts.tolist(), stops[first].tolist())])
         groups, pairs = [one[0] for one in aligned], [one[1] for one in aligned]
+        kinds = kinds.tolist()
         # A text ends where its last token does, and the next one begins with a space, so its end is an anchor.
         last = np.searchsorted(ends, np.cumsum([len(a) for _, a, _ in found])).tolist()
         start = 0
         for (i, a, b), at in zip(found, last):
-            of_text, times = np.unique(np.frombuffer(b"".join(pairs[start : at + 1]), np.int64), return_counts=True)
-            rows[i] = len(a), len(b), "".join(groups[start : at + 1])[:-1], of_text, times
+            of = kinds[start : at + 1]
+            of_text, times = np.unique(np.frombuffer(b"".join(map(pairs.__getitem__, of)), np.int64), return_counts=True)
+            rows[i] = len(a), len(b), "".join(map(groups.__getitem__, of))[:-1], of_text, times
             start = at + 1
         return rows
 
@@ -178,22 +183,20 @@ class Aligner:
         whole = int(self.size_a[a].sum()) == len(data) if self.tok.by_rank else b"".join(map(self.tok.bytes_a.__getitem__, a.tolist())) == data
         return whole and b"".join(map(self.tok.bytes_b.__getitem__, b.tolist())) == data
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The ids of each window (A's before B's, which are numbered after all of A) as bytes, and the number of A's tokens up to its end."""
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all windows (of each A's before B's, which are numbered after all of A), how many ids and how many of A's end with each."""
         # Anchors: both tokens end at one byte and both next tokens begin with a space (or the texts end).
         marked_a = np.flatnonzero(np.append(self.space_a[a[1:]], True))
         marked_b = np.flatnonzero(np.append(self.space_b[b[1:]], True))
         in_a, in_b = shared_ends(np.cumsum(self.size_a[a])[marked_a], np.cumsum(self.size_b[b])[marked_b])
         stop_a, stop_b = marked_a[in_a] + 1, marked_b[in_b] + 1
-        packed = dealt(a.astype(np.int32), (b + self.first_b).astype(np.int32), stop_a, stop_b).tobytes()
-        stops = (4 * (stop_a + stop_b)).tolist()
-        return [packed[i:j] for i, j in zip([0, *stops], stops)], stop_a
+        return dealt(a.astype(np.int32), (b + self.first_b).astype(np.int32), stop_a, stop_b), stop_a + stop_b, stop_a
 
     def aligned(self, keys: list[bytes]) -> list[tuple[str, bytes]]:
-        """The alignment of each window: remembered by its ids, or made now, all new ones at once."""
+        """The alignment of each of different windows: remembered by its ids, or made now, all new ones at once."""
         known = self.known
         found = list(map(known.get, keys))
-        fresh = dict.fromkeys([key for key, one in zip(keys, found) if one is None])
+        fresh = [key for key, one in zip(keys, found) if one is None]
         if fresh:
             back = {key: self.before[key] for key in fresh if key in self.before}
             new = [key for key in fresh if key not in back]
@@ -232,6 +235,26 @@ def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return in_a, at[in_a]
 
 
+def distinct(ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of one window of each kind, and the kind of every window; windows end before the stops, their ids tell kinds apart.
+
+    Windows are told apart by a hash of their ids. Those of equal hash are compared id by id; should they differ, no hash is used.
+    """
+    starts = np.append(0, stops[:-1])
+    sizes = stops - starts
+    places = np.arange(len(ids)) - np.repeat(starts, sizes)
+    names = np.add.reduceat(mixed((places << 32 | ids).astype(np.uint64) + np.uint64(1)), starts)
+    kinds = pa.array(names).dictionary_encode().indices.to_numpy()
+    first = np.empty(kinds.max() + 1, np.int64)
+    first[kinds] = np.arange(len(kinds))
+    like = first[kinds]
+    if (sizes == sizes[like]).all() and (ids == ids[places + np.repeat(starts[like], sizes)]).all():
+        return first, kinds
+    numbers: dict[bytes, int] = {}
+    kinds = np.array([numbers.setdefault(ids[i:j].tobytes(), len(numbers)) for i, j in zip(starts.tolist(), stops.tolist())])
+    return np.unique(kinds, return_index=True)[1], kinds
+
+
 def dealt(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> np.ndarray:
     """All values of ``a`` and ``b`` in the order of their parts, of each part a's before b's; parts end before the stops."""
     long_a, long_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
@@ -256,7 +279,7 @@ def align(docs: DataFrame, tokenizers: Tokenizers, text_col: str = "text") -> Da
     where tokens of both end cut the tokens into groups; the last tokens of a group are linked. Whitespace tokens are the
     anchors: shared ends before tokens that begin with a space, found by comparing the offsets of the whole text, cut it into
     windows, mostly single words, whose alignment is remembered by its ids (at most twice MEMO windows and those of 1 MB of text
-    a task); the windows of that text that are new are aligned together.
+    a task); equal windows of that text are looked up once, and those that are new are aligned together.
 
     Returns the input's columns, then ``n_a``, ``n_b`` (tokens), ``groups`` (``a1,a2|b1;a3|b2,b3``: ids of both by group) and ``links``
     (each linked pair, A id * 2^32 + B id, with its number of links in the text).

@@ -133,6 +133,22 @@ def test_alignment_forgets_and_stays_right():
     assert all((x == y).all() and (n == m).all() for (*_, x, n), (*_, y, m) in zip(single, many))
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_equal_windows_are_looked_up_once(monkeypatch, clash):
+    files = token_alignment.Tokenizers.read(FILES)
+    texts = [t for t in TEXTS if t] + ["the cat the dog the cat", "the dog"]
+    want = [aligned_by_definition(files, t) for t in texts]
+    if clash:  # windows of one hash are told apart by their ids
+        monkeypatch.setattr(token_alignment, "mixed", lambda x: x * x.dtype.type(0))
+    aligner, keys = token_alignment.Aligner(files), []
+    aligned = aligner.aligned
+    monkeypatch.setattr(aligner, "aligned", lambda asked: keys.extend(asked) or aligned(asked))
+    rows = aligner(texts)
+    assert [(r[0], r[1], r[2]) for r in rows] == [(n_a, n_b, ";".join(groups)) for n_a, n_b, groups, _ in want]
+    assert [dict(zip(r[3].tolist(), r[4].tolist())) for r in rows] == [Counter((a << 32) + b for a, b in pairs) for *_, pairs in want]
+    assert len(keys) == len(set(keys))
+
+
 def test_ranks_give_the_tokens_of_the_file_for_every_character():
     files = token_alignment.Tokenizers.read(FILES)
     points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000] + list(range(0xE0000, 0xE0200)) + [0x10FFFF]
