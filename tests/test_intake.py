@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from harborline.session import written
 from harborline.sources import batches, intake
 from registry import catalog
 from test_store import files
@@ -64,6 +65,28 @@ def test_uploads_are_a_file_each_in_few_folders(spark, tmp_path):
     assert len({f.parent for f in found}) <= catalog.SHELVES
 
 
+def test_uploads_have_no_checksum_files_beside_them(spark, tmp_path):
+    catalog._uploaded(spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id bigint, text string"), str(tmp_path / "up"))
+    assert len(list((tmp_path / "up").rglob("*.txt"))) == 20 and not list((tmp_path / "up").rglob("*.crc"))
+
+
+def test_names_of_many_files_are_compared_in_few_tasks(spark, tmp_path, monkeypatch):
+    folder, corpus, tasks = tmp_path / "up", str(tmp_path / "corpus"), []
+    folder.mkdir()
+    (folder / "first.txt").write_text("first")
+    assert intake.ingest(spark, str(folder), corpus) == 1
+    for i in range(40):
+        (folder / f"{i}.txt").write_text(f"text {i}")
+    monkeypatch.setattr(intake, "NAME_TASKS", 2)
+    monkeypatch.setattr(intake, "written", lambda df, name: tasks.append((name, df.rdd.getNumPartitions())) or written(df, name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        assert intake.ingest(spark, str(folder), corpus) == 40
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert dict(tasks)["new-keys"] <= 2 < dict(tasks)["new-files"]
+
+
 def test_intake_of_an_empty_folder(spark, tmp_path):
     assert intake.ingest(spark, str(tmp_path), str(tmp_path / "corpus")) == 0
 
