@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from harborline.operators import rolling
 from registry import catalog
+from registry import layers as built
 from registry.layers import Layers
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,3 +119,37 @@ def test_layer_counts_rank_no_silver_rows(spark):
     """Of the tables counted, only the gold one reads columns of its first rows; the silver ones are counted by their keys."""
     plan = catalog.queries()["layer_row_counts"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 2 and "max(struct" not in plan and "Supplier name" not in plan
+
+
+def test_moving_windows_read_tables_dealt_by_their_keys(spark):
+    tables = lambda: {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    before = tables()
+    plan = Layers(spark, FOLDER).stored.flat._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2, plan
+    assert [name.rsplit("_", 1)[0] for name in tables() - before] == ["rows_by_shipping_mode"] * 2
+
+
+def test_dealt_tables_give_the_same_rows_where_customers_are_heavy(spark, monkeypatch):
+    plain, order = Layers(spark, FOLDER).flat, ["order_id", "product_id", "order_date", "max_defect_rate", "avg_order_value_30d", "num_orders_30d"]
+    monkeypatch.setattr(built, "heavy_keys", lambda df, keys: rolling.heavy_keys(df, keys, 45))
+    stored = Layers(spark, FOLDER).stored
+    assert stored.heavy_customers is not None
+    assert stored.flat.exceptAll(plain).count() == 0 == plain.exceptAll(stored.flat).count()
+
+
+def test_fitted_models_store_the_columns_they_read(spark, monkeypatch):
+    stored, write = {}, catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df, name: stored.setdefault(name, df.columns) and write(df, name))
+    catalog.queries()["ml_anomaly"](spark, FOLDER)
+    assert {"order_id", "product_id", "sales"} <= set(stored["flat"]) and not {"customer_segment", "class", "market"} & set(stored["flat"])
+    stored.clear()
+    catalog.queries()["ml_delivery_delay"](spark, FOLDER)
+    assert "is_late_delivery" in stored["flat"] and "order_id" not in stored["flat"]
+
+
+def test_purge_of_the_delivery_table_shuffles_no_rows_by_month(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("rows are gathered already")
+
+    monkeypatch.setattr(catalog.files, "by_month", refused)
+    assert catalog.queries()["purge_usual_value"](spark, FOLDER).count() == 5
