@@ -67,3 +67,32 @@ def test_deleting_rows_writes_what_stays_once(spark, tmp_path, monkeypatch):
     assert store.delete_rows(spark, path, F.col("value") == 3, ["part"]) == 10
     assert {r.id for r in spark.read.parquet(path).collect()} == {i for i in range(100) if i % 7 != 3}
     assert stored and not any({"id", "text"} & columns for columns in stored)
+
+
+def test_upsert_widens_the_rows_that_count_and_leaves_no_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_PART", 10)
+    path, newest, folder = str(tmp_path / "chunks"), [F.col("at").desc()], spark.conf.get("spark.checkpoint.dir")
+    rows = spark.range(400).selectExpr("concat('id', id % 300) AS id", "id AS at").unionByName(spark.sql("SELECT CAST(NULL AS string) AS id, 7L AS at"))
+    wide = lambda kind: lambda df: df.select("id", F.concat(F.lit(kind), "at").alias("text"))
+    assert store.upsert(spark, path, rows, newest, buckets=4, widen=wide("old ")) == [0, 1, 2, 3]
+    assert store.upsert(spark, path, rows.where("at < 50"), newest, buckets=4, widen=wide("new ")) == [0, 1, 2, 3]
+    found = [(r.id, r.text) for r in spark.read.parquet(path).collect()]
+    want = {f"id{i}": f"new {i}" if i < 50 else f"old {i + 300 if i < 100 else i}" for i in range(300)}
+    assert len(found) == 302 and {i: text for i, text in found if i is not None} == want
+    assert sorted(text for i, text in found if i is None) == ["new 7", "old 7"]  # a null key equals no other
+    assert not [r.tableName for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("upsert_")]
+    assert not [name for name in os.listdir(folder) if name.startswith("upsert_")]
+
+
+def test_upsert_moves_wide_rows_without_a_shuffle(spark, tmp_path, monkeypatch):
+    path, plans, replace = str(tmp_path / "chunks"), [], store._replace_partitions
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        replace(df, *rest)
+
+    monkeypatch.setattr(store, "_replace_partitions", seen)
+    rows = spark.range(200).selectExpr("concat('id', id) AS id", "id AS at", "repeat('x', 50) AS text")
+    for part in (rows, rows.where("at < 150")):
+        store.upsert(spark, path, part, [F.col("at").desc()], buckets=4)
+    assert len(plans) == 2 and not any("Exchange" in plan for plan in plans) and spark.read.parquet(path).count() == 200
