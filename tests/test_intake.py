@@ -112,6 +112,11 @@ def test_ended_job_goes_on_at_the_next_batch(spark, tmp_path):
     assert batches.run(spark, staged, out, breaks) == [] and files(f"{out}/rows") == after
 
 
+def test_batches_are_staged_without_a_shuffle(spark, tmp_path):
+    batches.stage(spark.range(600).repartition(3).select(F.col("id").cast("string").alias("id")), str(tmp_path / "staged"), 2)
+    assert {name: len(found) for name, found in files(str(tmp_path / "staged")).items()} == {"batch=0": 3, "batch=1": 3}
+
+
 def test_a_batch_left_half_written_is_replaced(spark, tmp_path):
     staged, out = str(tmp_path / "staged"), str(tmp_path / "out")
     batches.stage(spark.range(40).select(F.col("id").cast("string").alias("id")), staged, 2)
